@@ -273,8 +273,9 @@ def candidates(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Those of ``pairs(a, b, na, nb)`` that link on their full shingle sets."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_setter(width), "doc long, shingles array<long>"))
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    # Texts are shuffled only where the ids are too many to be sent to them.
+    sets = cut(docs.join(broadcast_if(ids, ids.count(), 16), "doc_id", "left_semi").mapInArrow(_setter(width), "doc long, shingles array<long>"))
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(
