@@ -4,9 +4,9 @@
    ``BITS`` bits packed into longs, ``BANDS`` band keys of ``ROWS`` full minima.
 2. Equal word sequences collapse to one class; only its smallest document goes on.
 3. Documents sharing a band key are candidates.  A bucket is never expanded into
-   all pairs: its members are compared with hubs, linked members are contracted to
-   one component, and only pairs of members that still lie in different components
-   are looked at afterwards.
+   all pairs: its members are compared with a hub, linked members get one label, and
+   pairs under different labels are found exactly by a prefix join of the members'
+   differences from the hub.
 4. Candidates pass a bit-count estimate (corrected for chance agreement of low bits,
    with a margin of six standard deviations), then an exact check on full sets.
 
@@ -28,7 +28,6 @@ from .common import broadcast_if, cut
 from .components import connected_components
 
 HASHES, BITS, MISS = 128, 2, 1e-6
-HUB_ROUNDS = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CACHE = 300_000
@@ -231,31 +230,61 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
 
 
 def link(reps: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Components of the distinct texts ``reps(doc, text_key, n, sig, bands)``."""
+    """Components of the distinct texts ``reps(doc, text_key, n, sig, bands)``.
+
+    The hub of a bucket is the member that shares most with others over all bands: of
+    a group of near copies, the one that is nearest to all.  Every member is compared
+    with its hubs; what links gets a common label (a lower bound of the component,
+    enough to leave pairs out).  ``remainder`` then finds the other pairs.
+    """
     rows = reps.select("doc", F.explode("bands").alias("band"))
-    counted = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("doc").alias("hub"))
-    shared = cut(rows.join(counted.where("size > 1"), "band").select("band", "doc", "hub"))
+    counted = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(rows.join(counted, "band"))
+    standing = shared.groupBy("doc").agg(F.sum("size").alias("pop"))
+    shared = shared.join(standing, "doc").select("band", "doc", "pop")
+    hubs = shared.groupBy("band").agg(F.max_by("doc", F.struct("pop", -F.col("doc"))).alias("hub"))
+    members = cut(shared.join(hubs, "band").where("doc <> hub").select("doc", "hub").distinct())
     side = reps.select("doc", "n", "sig")
-    edges, labels = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn == 0:
-            pairs = shared.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-        else:
-            now = shared.join(labels, shared["doc"] == labels["node"], "left").select("band", "doc", F.coalesce("component", "doc").alias("c"))
-            mixed = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("hub"), F.min_by("c", F.xxhash64("doc", F.lit(turn))).alias("hub_c"))
-            mixed = mixed.where("lo <> hi and size > 2")
-            left = cut(now.join(mixed, "band").select("band", "doc", "c", "hub", "hub_c"))
-            if left.isEmpty():
-                break
-            if turn < HUB_ROUNDS:
-                pairs = left.where("c <> hub_c").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-            else:
-                one, two = left.select("band", F.col("doc").alias("a"), F.col("c").alias("ca")), left.select("band", F.col("doc").alias("b"), F.col("c").alias("cb"))
-                pairs = one.join(two, "band").where("ca < cb").select("a", "b").distinct()
-        found = confirm(candidates(pairs, side, percent), docs, percent, width)
-        edges = found if edges is None else cut(edges.unionByName(found))
-        labels = cut(connected_components(edges))
-    return labels
+    found = confirm(candidates(members.toDF("a", "b"), side, percent), docs, percent, width)
+    near = cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")))
+    hop = near.select("a", F.least("a", "b").alias("b"))
+    label = hop.join(hop.toDF("b", "c"), "b", "left").select(F.col("a").alias("doc"), F.least("b", "c").alias("label"))
+    more = confirm(candidates(remainder(members, label, docs, percent, width), side, percent), docs, percent, width)
+    return connected_components(found.unionByName(more))
+
+
+def remainder(members: DataFrame, label: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) of members of a hub, under different labels, that may link; none that links is left out.
+
+    A member x is described by D(x), its symmetric difference with the hub, in a common
+    order (first what the hub lacks, then what x lacks).  As |x Δ y| = |D(x) Δ D(y)|,
+    a link needs |D(x) Δ D(y)| <= T, with T = (100 - percent) / (100 + percent) of both
+    sizes; hence an overlap of D(x) and D(y), hence a common element in prefixes of
+    lengths that follow from T and the sizes.  Edits of one copy only are first in the
+    order and meet nobody, so the join stays small in groups of near copies.  (If the
+    needed overlap is 0, both link with the hub.)
+    """
+    labelled = members.join(label, "doc", "left").select("doc", "hub", F.coalesce("label", "doc").alias("label"))
+    mixed = labelled.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub")
+    left = cut(labelled.join(mixed, "hub"))
+    sets = shingles(left.select(F.col("doc").alias("doc_id")).unionByName(left.select(F.col("hub").alias("doc_id"))), docs, width)
+    pair = left.join(sets.toDF("doc", "own"), "doc").join(sets.toDF("hub", "base"), "hub")
+    differs = pair.select(
+        "doc", "hub", "label", F.size("own").alias("n"), F.concat(F.array_except("own", "base"), F.array_except("base", "own")).alias("d")
+    )
+    # The longest prefix that any partner may need: partners are at most 100 / percent as long.
+    most = F.floor((100 - percent) * F.col("n") / percent) + 2
+    tokens = cut(differs.select("doc", "hub", "label", "n", F.size("d").alias("k"), F.posexplode(F.slice("d", F.lit(1), most.cast("int"))).alias("pos", "token")))
+    x, y = tokens.toDF("a", "hub", "la", "na", "ka", "pa", "token"), tokens.toDF("b", "hub_", "lb", "nb", "kb", "pb", "token_")
+    allowed = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    fits = (
+        ((F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") > F.col("b"))))
+        & (F.col("la") != F.col("lb"))
+        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & (2 * F.col("pa") <= F.col("ka") - F.col("kb") + allowed)
+        & (2 * F.col("pb") <= F.col("kb") - F.col("ka") + allowed)
+    )
+    return x.join(y, (F.col("hub") == F.col("hub_")) & (F.col("token") == F.col("token_")) & fits).select("a", "b").distinct()
 
 
 def candidates(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
@@ -270,12 +299,18 @@ def candidates(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def shingles(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc, shingles) of the documents with ``ids(doc_id)``; sets are made anew from the texts, and kept once."""
+    ids = cut(ids.distinct())
+    # Texts are shuffled only where the ids are too many to be sent to them.
+    made = docs.join(broadcast_if(ids, ids.count(), 16), "doc_id", "left_semi").mapInArrow(_setter(width), "doc long, shingles array<long>")
+    return cut(made)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Those of ``pairs(a, b, na, nb)`` that link on their full shingle sets."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    # Texts are shuffled only where the ids are too many to be sent to them.
-    sets = cut(docs.join(broadcast_if(ids, ids.count(), 16), "doc_id", "left_semi").mapInArrow(_setter(width), "doc long, shingles array<long>"))
+    sets = shingles(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, width)
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(
