@@ -1,0 +1,2 @@
+"""Scalar functions as Column expressions."""
+from .scalar import *  # noqa: F403

@@ -1,0 +1 @@
+"""DataFrame algebra of dependency graphs and run state."""

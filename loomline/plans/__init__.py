@@ -1,0 +1 @@
+"""Rules, pipelines and their execution: artifacts addressed by the lineage that makes them."""
