@@ -1,30 +1,32 @@
 """Training-order materialisation into fixed-stride binary shards.
 
-Documents are cut into sequences of at most ``length`` ids.  Sequences are numbered
-densely (hashed buckets, running totals), a keyed Feistel network with cycle-walking
-permutes the numbers into global slots, and range partitions of the slots write
-shards.  Record ``k`` of shard ``s`` holds slot ``s * records + k`` at byte
-``k * stride``: a count (4 bytes), then ids padded with zeros.  A reader can thus
-start, or resume, at any slot by seeking.
+Documents are cut into sequences of at most ``length`` ids.  A document's sequences
+get numbers from a dense range of as many as its bytes allow (a cheap bound, so that
+texts are tokenised once only).  A keyed Feistel network with cycle-walking permutes
+the numbers; range partitions of the permuted numbers, each sorted, write shards.  A
+sequence's global slot is its place in that order: slots are dense from 0.  Record
+``k`` of a shard is at byte ``k * stride``: a count (4 bytes), then ids padded with
+zeros.  A reader can thus start, or resume, at any slot by seeking; how many slots a
+shard has follows from its size.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, work_folder
+from .common import broadcast_if, cut, work_folder
 from .ranks import buckets, running_total
 from .tokens import document_ids, encoder
 
-LENGTH, RECORDS, ROUNDS, KEY = 256, 16_384, 6, 20_240_501
+#: Ids of a sequence; permuted numbers that a shard spans; rounds and key of the network.
+LENGTH, SPAN, ROUNDS, KEY = 256, 65_536, 6, 20_240_501
 
 
 def _round_keys(key: int, rounds: int) -> np.ndarray:
@@ -72,8 +74,8 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGTH, records: int = RECORDS, key: int = KEY, tokenizer: tuple | None = None) -> DataFrame:
-    """Write the shards; a row for each sequence: doc_id, start, length, ids_crc32, slot, shard, byte_offset.
+def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGTH, span: int = SPAN, key: int = KEY, tokenizer: tuple | None = None) -> DataFrame:
+    """Write the shards and their manifest; a row for each sequence: doc_id, start, length, ids_crc32, slot, shard, byte_offset.
 
     The folder must be shared by all executors (default: a new one below the
     session's checkpoint folder) and may be on any file system pyarrow opens.  A
@@ -83,28 +85,20 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
     their own; other columns are ignored; an empty table writes nothing.
     """
     spark = docs.sparkSession
-    folder = folder or work_folder(spark, "shards")
+    folder = (folder or work_folder(spark, "shards")).rstrip("/")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.xxhash64("doc_id", "text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*(tokenizer or ()))
-        for b in batches:
-            n = [-(-len(document_ids(encode, t.as_py())) // length) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), pa.array(n, pa.int64())], names=["doc_id", "_row", "n"])
-
-    counted = cut(docs.mapInArrow(count, "doc_id long, _row long, n long"))
-    # Equal rows are numbered as one entry of as many sequences as all of them have.
-    rows = counted.groupBy("doc_id", "_row").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
-    total = buckets(counted.count())
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(total)).cast("int"))
-    firsts, at = [], 0
+    # A byte is one id at most, and one id closes the document.
+    bound = F.ceil((F.octet_length(F.coalesce("text", F.lit(""))) + 1) / length).cast("long")
+    # Equal rows are numbered together.
+    rows = cut(docs.groupBy("doc_id", "_row").agg(F.sum(bound).alias("n"), F.count("*").alias("copies")))
+    entries, most = rows.agg(F.count("*"), F.max("copies")).first()
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(buckets(entries))).cast("int"))
+    firsts, total = [], 0
     for bucket, n in running_total(rows, F.col("n")):
-        firsts.append((bucket, at))
-        at += n
-    if not at:
+        firsts.append((bucket, total))
+        total += n
+    if not total:
         return spark.createDataFrame([], _MANIFEST)
-    from pyspark.sql import Window
-
     within = Window.partitionBy("_bucket").orderBy("doc_id", "_row").rowsBetween(Window.unboundedPreceding, -1)
     first = F.broadcast(spark.createDataFrame(firsts, "_bucket int, _first long"))
     numbered = (
@@ -112,30 +106,37 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
         .join(first, "_bucket")
         .select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), (F.col("_first") + F.col("_before")).alias("number"), "copies")
     )
+    # Numbers are sent to the texts while they are few; else texts are shuffled to them.
+    numbered = broadcast_if(numbered, entries, 40)
     joined = docs.join(numbered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))).select("doc_id", "_row", "text", "number", "copies")
-    # Copies of a whole row have the same text: one of them writes the sequences of all.
-    joined = joined.where("copies = 1").unionByName(joined.where("copies > 1").dropDuplicates(["doc_id", "_row"])).drop("_row")
+    if most > 1:
+        # Copies of a whole row have the same text: one of them writes the sequences of all.
+        joined = joined.where("copies = 1").unionByName(joined.where("copies > 1").dropDuplicates(["doc_id", "_row"]))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*(tokenizer or ()))
         for b in batches:
+            numbers: list[int] = []
             out: list[tuple] = []
             for i, t, number, copies in zip(*(b.column(c) for c in ("doc_id", "text", "number", "copies")), strict=True):
-                ids = document_ids(encode, t.as_py())
-                starts = range(0, len(ids), length)
-                slot = permute(np.arange(number.as_py(), number.as_py() + len(starts) * copies.as_py()), at, key)
-                for k, s in enumerate(slot.tolist()):
-                    start = starts[k % len(starts)]
-                    out.append((s, i.as_py(), start, ids[start : start + length].astype("<u2").tobytes()))
+                data, i = document_ids(encode, t.as_py()).astype("<u2").tobytes(), i.as_py()
+                parts = [(i, at // 2, data[at : at + 2 * length]) for at in range(0, len(data), 2 * length)] * copies.as_py()
+                number = number.as_py()
+                numbers += range(number, number + len(parts))
+                out += parts
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["slot", "doc_id", "start", "ids"])
+                ids, starts, parts = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(permute(np.array(numbers, np.int64), total, key)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())],
+                    names=["position", "doc_id", "start", "ids"],
+                )
 
     size = stride(length)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
-        stream, shard, name, crcs = None, None, "", []
+        stream, shard, name, record = None, -1, "", 0
 
         def close() -> None:
             if stream is not None:
@@ -143,38 +144,52 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
                 system.move(name, f"{base}/{shard_name(shard)}")
 
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("slot", "doc_id", "start", "ids")), strict=True))
-            crcs = []
-            for s, _, _, ids in rows:
-                if s // records != shard:
+            found: list[tuple] = []
+            for position, i, start, ids in zip(*(b.column(c).to_pylist() for c in ("position", "doc_id", "start", "ids")), strict=True):
+                if position // span != shard:
                     close()
-                    shard, name = s // records, f"{base}/.{uuid.uuid4().hex}.part"
+                    shard, name, record = position // span, f"{base}/.{uuid.uuid4().hex}.part", 0
                     stream = system.open_output_stream(name)
                 stream.write((len(ids) // 2).to_bytes(4, "little") + ids + bytes(size - 4 - len(ids)))
-                crcs.append(zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in ([r[1] for r in rows], [r[2] for r in rows], [len(r[3]) // 2 for r in rows], crcs, [r[0] for r in rows], [r[0] // records for r in rows], [r[0] % records * size for r in rows])],
-                names=[x.split()[0] for x in _MANIFEST.split(", ")],
-            )
+                found.append((i, start, len(ids) // 2, zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()), shard, record))
+                record += 1
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "shard", "record"])
         close()
 
-    shards = -(-at // records)
-    dealt = joined.mapInArrow(sequences, "slot long, doc_id long, start long, ids binary").withColumn("_shard", F.floor(F.col("slot") / records))
-    return dealt.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("slot").drop("_shard").mapInArrow(write, _MANIFEST)
+    shards = -(-total // span)
+    dealt = joined.mapInArrow(sequences, "position long, doc_id long, start long, ids binary").withColumn("_shard", F.floor(F.col("position") / span).cast("int"))
+    sorted_ranges = dealt.repartitionById(shards, F.col("_shard")).sortWithinPartitions("position").drop("_shard")
+    sorted_ranges.mapInArrow(write, "doc_id long, start long, length long, ids_crc32 long, shard long, record long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    # A row for each shard: with spans of this size, 16 bytes for every few MB.
+    offsets, at = [], 0
+    for r in sorted(manifest.groupBy("shard").count().collect()):
+        offsets.append((r["shard"], at))
+        at += r["count"]
+    place = broadcast_if(spark.createDataFrame(offsets, "shard long, first long"), len(offsets), 16)
+    return manifest.join(place, "shard").select(
+        "doc_id", "start", "length", "ids_crc32", (F.col("first") + F.col("record")).alias("slot"), "shard", (F.col("record") * size).alias("byte_offset")
+    )
 
 
 _MANIFEST = "doc_id long, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long"
 
 
-def read_slots(folder: str, first: int, count: int, length: int = LENGTH, records: int = RECORDS) -> Iterator[np.ndarray]:
-    """The ids of ``count`` slots from ``first`` on, read in order by seeking once for each shard."""
+def read_slots(folder: str, first: int, count: int, length: int = LENGTH) -> Iterator[np.ndarray]:
+    """The ids of ``count`` slots from ``first`` on, in order, with one seek for each shard."""
+    from pyarrow import fs
+
     system, base = _open(folder)
-    size, slot = stride(length), first
-    while slot < first + count:
-        shard, at = divmod(slot, records)
-        with system.open_input_file(os.path.join(base, shard_name(shard))) as f:
-            f.seek(at * size)
-            for _ in range(min(records - at, first + count - slot)):
-                record = f.read(size)
-                yield np.frombuffer(record, "<u2", int.from_bytes(record[:4], "little"), 4).astype(np.uint32)
-                slot += 1
+    size, before = stride(length), 0
+    found = [f for f in system.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("shard-")]
+    for info in sorted(found, key=lambda f: f.base_name):
+        inside = info.size // size
+        lo, hi = max(first, before), min(first + count, before + inside)
+        if lo < hi:
+            with system.open_input_file(info.path) as f:
+                f.seek((lo - before) * size)
+                for _ in range(hi - lo):
+                    record = f.read(size)
+                    yield np.frombuffer(record, "<u2", int.from_bytes(record[:4], "little"), 4).astype(np.uint32)
+        before += inside
