@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough
+from .common import cut, lean, small_enough
 
 #: Tokens of a line or sentence to be looked at; documents that must differ, for short and other units.
 LEAST_LINE, LEAST_SENTENCE, SHORT, DOCS_SHORT, DOCS = 3, 8, 6, 20, 5
@@ -38,7 +38,7 @@ FIELD_LINES = range(8, 41)
 LEADING = 2
 _DIGITS = re.compile(r"\S*\d\S*?(?=[.!?]*(?:\s|$))")
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 class _Hashes(dict):
@@ -122,6 +122,7 @@ def _unit_rows(text: str, hashes: _Hashes) -> dict[int, int]:
     return out
 
 
+@lean
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for b in batches:
@@ -187,6 +188,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
         def given(batch: pa.RecordBatch, k: int, ids, own: list[int]) -> set[int]:
             return set(batch.column("_drop")[k].as_py() or ()) & set(own)
 
+    @lean
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pc.cast(b.column("doc_id"), pa.int64())

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut
+from .common import broadcast_if, cut, lean
 from .components import connected_components
 
 HASHES, BITS, MISS = 128, 2, 1e-6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,6 +114,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
 def _sketcher(width: int, threshold: float):
     bands, per_band = banding(threshold)
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         rows: list[tuple] = []
@@ -141,6 +142,7 @@ def _sketcher(width: int, threshold: float):
 
 
 def _setter(width: int):
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:

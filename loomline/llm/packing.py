@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .ranks import with_rank
 from .tokens import document_ids, encoder
 
@@ -29,6 +29,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def pieces(docs: DataFrame, size: int = SIZE, tokenizer: tuple | None = None) -> DataFrame:
     """A row for each piece of each row of ``docs(doc_id, text)``; see ``pack``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*(tokenizer or ()))
         for batch in batches:

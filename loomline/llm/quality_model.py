@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Bounds of the training samples; words and rounds of the model.
 LABELLED, POOL = 8000, 3000
 WORDS, LEAST_ROWS, PENALTY = 2000, 4, 3e-4
@@ -228,6 +230,7 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
     return Model(models["text"], models["meta"], fits["text"], fits["meta"], tuple(map(float, mix)), {"rows": float(len(check)), "accuracy": float(right)})
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = [x.as_py() or "" for x in b.column("text")]
@@ -284,6 +287,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut, work_folder
+from .common import broadcast_if, cut, lean, work_folder
 from .ranks import buckets, running_total
 from .tokens import document_ids, encoder
 
@@ -113,6 +113,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
         # Copies of a whole row have the same text: one of them writes the sequences of all.
         joined = joined.where("copies = 1").unionByName(joined.where("copies > 1").dropDuplicates(["doc_id", "_row"]))
 
+    @lean
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*(tokenizer or ()))
         for b in batches:

@@ -23,18 +23,20 @@ _PIECE_END = 1
 
 
 @lru_cache(maxsize=2)
-def _libraries(json_path: str, rank_path: str | None, pattern: str | None):
+def _tokenizer(json_path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
-    if rank_path is None:
-        return slow, None
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(maxsize=2)
+def _ranks(rank_path: str, pattern: str):
     import tiktoken
 
     with open(rank_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return slow, tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def encoder(json_path: str | None = None, rank_path: str | None = None):
@@ -48,14 +50,14 @@ def encoder(json_path: str | None = None, rank_path: str | None = None):
 
         json_path, rank_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
         pattern = public_tokenizers.PATTERN
-    slow, fast = _libraries(json_path, rank_path, pattern)
+    fast = _ranks(rank_path, pattern) if rank_path else None
 
     def encode(text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
         if fast is not None and _MARK not in text and _PLAIN.fullmatch(text):
             return fast.encode_to_numpy(text)
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(_tokenizer(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 

@@ -1,0 +1,249 @@
+"""Operators against brute force on small tables that hold nulls, empty and long texts, ties, copies and odd columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from loomline.llm import decontaminate, html_text, licenses, line_dedup, minhash_dedup, packing, quality_model, quality_rules, secrets, shards, tokens
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, bands string, label string, n_words int"
+
+
+def _texts() -> list[tuple[int | None, str | None]]:
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(["th", "er", "on", "an", "é", "A"]) for _ in range(r.randint(1, 4)))
+    base = [[word() for _ in range(r.randint(15, 120))] for _ in range(12)]
+    rows: list[tuple[int | None, str | None]] = [(0, None), (1, ""), (2, " \n\t"), (3, "One"), (4, "one"), (5, "two words"), (6, "TWO  words"), (None, "no id"), (None, None)]
+    for k in range(80):
+        words = list(r.choice(base))
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(len(words))] = word()
+        rows.append((10 + k, " ".join(words)))
+    rows += [rows[20], rows[20], (200, rows[21][1]), (201, "x " * 30_000), (202, "a b c d e f " * 4 + "tail. " * 9), (203, "line one here now\nline one here now\n| a | b | c |\nthe end of it all.")]
+    return rows
+
+
+def _table(spark, rows=None):
+    rows = _texts() if rows is None else rows
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "b", "l", 2) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return _table(spark).repartition(3)
+
+
+def test_near_duplicates(docs):
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect() if r.doc_id is not None}
+    sets = {}
+    for i, t in _texts():
+        w = minhash_dedup.words_of(t)
+        if i is not None:
+            sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    label = {i: i for i in sets}
+    for _ in range(20):
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == {(i, len(s)): (label[i], label[i] == i) for i, s in sets.items()}
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert minhash_dedup.near_duplicates(_table(spark, [])).count() == 0
+    assert minhash_dedup.keep_one(_table(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None)])).count() == 2
+
+
+def test_bands_miss_little():
+    for threshold in (0.8, 0.85, 0.95):
+        bands, rows = minhash_dedup.banding(threshold)
+        assert (1 - threshold**rows) ** bands < 1e-6
+        assert bands * rows <= minhash_dedup.HASHES
+
+
+def test_contamination(spark, docs):
+    r = random.Random(5)
+    texts = [t for _, t in _texts() if t and len(t.split()) > 30][:6]
+    items = [(k, " ".join(t.split()[r.randint(0, 9) :][: r.randint(3, 18)]).upper() + "!") for k, t in enumerate(texts)]
+    items += [(90, None), (91, "..."), (92, "one"), (93, "th")]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: word.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = low(t)
+        for k in range(len(w) - min(13, len(w)) + 1):
+            if w:
+                windows[tuple(w[k : k + 13])].add(i)
+    want = Counter()
+    for i, t in _texts():
+        w, hit, found = low(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    found |= own
+        want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(map(tuple, decontaminate.contamination(docs, table).collect())) == want
+    kept = decontaminate.without_contaminated(docs, table)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(n for row, n in want.items() if not row[-1])
+    assert decontaminate.contamination(docs, table.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_quality_counts(docs):
+    word, want = re.compile(r"[^\x20\x09-\x0D]+"), Counter()
+    for i, t in _texts():
+        w = word.findall(t or "")
+        count = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        inside = {p for k in range(len(w) - 4) if count[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in (t or "").split("\n") if word.search(x)]
+        want[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(inside), len(w) < 10 or 100 * len(inside) > 20 * len(w)] += 1
+    got = quality_rules.quality(docs)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()) == want
+
+
+@pytest.mark.parametrize("text", ["We took a walk by the sea, and then it rained.", "It rained.\nNobody minded; we went on."])
+def test_prose_passes_the_line_rules(spark, text):
+    assert quality_rules.quality(_table(spark, [(1, text + " And so on for ten words and more.")])).first().kept
+
+
+@pytest.mark.parametrize("text", ["home | about | news | shop | log in | help\n" * 3, "$$$ ### buy$$$ now### &&& %%% all### of&&& it$$$ here###", "THIS IS A VERY LOUD LINE!! OF MANY WORDS!! AND MORE OF IT!! YES!!"])
+def test_furniture_fails_the_line_rules(spark, text):
+    assert not quality_rules.quality(_table(spark, [(1, text)])).first().kept
+
+
+def test_packing_round_trip(docs):
+    encode = tokens.encoder()
+    rows = packing.pack(docs, 64).collect()
+    ids = {t: tokens.document_ids(encode, t) for _, t in _texts()}
+    by_doc = defaultdict(list)
+    for i, t in _texts():
+        by_doc[i].append(ids[t])
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for i, all_ids in by_doc.items():
+        want = [(s, len(x[s : s + 64]), zlib.crc32(x[s : s + 64].tobytes()), len(x)) for x in all_ids for s in range(0, len(x), 64)]
+        assert sorted(pieces[i]) == sorted(want)
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_plan_places_every_length():
+    r = random.Random(1)
+    histogram = {r.randint(1, 100): r.randint(1, 1000) for _ in range(60)}
+    placed = Counter()
+    for count, contents in packing.plan(histogram, 100):
+        assert sum(n * t for n, t in contents) <= 100
+        for n, t in contents:
+            placed[n] += count * t
+    assert placed == histogram
+
+
+def test_tokens_agree_with_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.encoder()
+    for t in ["It's 3 o'clock—é ü\n\n  x\t", "日本 <|endoftext|> ​", "  ", "a" * 3000, "<|endoftext|>"]:
+        assert encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_shards_round_trip(docs, tmp_path):
+    rows = shards.write_shards(docs, str(tmp_path / "s"), length=16, span=100).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    encode = tokens.encoder()
+    want = Counter((i, s, zlib.crc32(x[s : s + 16].tobytes())) for i, t in _texts() for x in [tokens.document_ids(encode, t)] for s in range(0, len(x), 16))
+    assert Counter((r.doc_id, r.start, r.ids_crc32) for r in rows) == want
+    by_slot = {r.slot: r for r in rows}
+    for k, ids in enumerate(shards.read_slots(str(tmp_path / "s"), 5, len(rows) - 5, length=16), 5):
+        assert zlib.crc32(ids.astype("<u4").tobytes()) == by_slot[k].ids_crc32
+    assert shards.write_shards(docs.limit(0), str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000])
+def test_permutation(n):
+    assert sorted(shards.permute(np.arange(n), n).tolist()) == list(range(n))
+
+
+def test_licences(spark):
+    texts = [None, "", "Licensed under the Apache License, Version 2.0.", "Text.\nThis work is licensed under the GNU General Public License, version 3.\nMore", "Released under the MIT License. Released under CC BY-NC 4.0.", licenses.SENTENCES["T_MIT_GRANT"].upper() + ":\n" + licenses.SENTENCES["T_MIT_NOTICE"] + ".", "No license here."]
+    rows = {r.doc_id: tuple(r)[1:] for r in licenses.scan(_table(spark, list(enumerate(texts)))).collect()}
+    assert rows == {i: licenses.python_scan(t) for i, t in enumerate(texts)}
+    assert [rows[i][2] for i in range(7)] == ["", "", "Apache-2.0", "GPL-3.0-only", "CC-BY-NC-4.0,MIT", "MIT", ""]
+    for sentence in licenses.known():
+        assert licenses.python_normal(sentence) == sentence
+        assert re.search(licenses.MARKER, sentence)
+
+
+def test_secrets_held_out(spark):
+    held = spark.createDataFrame(secrets.labelled_findings(800, seed=99), "candidate string, before string, after string, label int")
+    rows = secrets.train(spark).transform(secrets.features(held)).select("label", "_label").collect()
+    assert sum(r.label == r._label for r in rows) >= 0.95 * len(rows)
+    found = secrets.scan(_table(spark, [(1, 'say token = "035d50b74778df8409167469942b6500c432a2c9" now'), (2, None), (3, "mail5.example.com and nothing else"), (4, "")])).collect()
+    assert [r.candidate for r in found if r.is_secret] == ["035d50b74778df8409167469942b6500c432a2c9"]
+
+
+PAGE = """<html><body class="has-sidebar"><header><a href=x>Site</a></header><div id="cookie-notice">We use cookies</div><div class="layout">
+<aside>side</aside><main><article class="post post-{k}"><h1>T{k} &amp; co</h1><p>Hello <b>w</b>orld&nbsp;x<p>Second<br/>line &lt;b&gt;
+<script>var a = "</p>";</script></p><ul><li>one<li>two</ul><div class="ad-slot">BUY</div><form><input>q</form>
+<section class="comments"><p>nice post</p></section></article></main></div><footer>foot</footer>"""
+
+
+def test_html(spark):
+    pages = [(k, f"https://www.a.example/{k}", PAGE.format(k=k)) for k in range(5)] + [(9, None, None), (10, "x", ""), (11, "http://b.example", "just text"), (12, "http://b.example", "<!-- open")]
+    rows = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows[3].text == "T3 & co Hello world x Second line <b> one two"
+    assert rows[3].n_chars == len(rows[3].text)
+    assert [rows[k].text for k in (9, 10, 11, 12)] == ["", "", "just text", ""]
+
+
+def test_line_dedup(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    own = {k: " ".join(word() for _ in range(30)) + "." for k in range(40)}
+    rows = [(k, f"{own[k]}\nOrder number {k * 37} was sent to your home address\nRead our other stories in the archive today") for k in range(40)]
+    copied = "\n".join(" ".join(word() for _ in range(12)) for _ in range(4))
+    rows += [(100 + k, copied) for k in range(30)] + [(200, None), (201, "")]
+    got = {x.doc_id: x for x in line_dedup.drop_recurring(_table(spark, rows)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[k].text == own[k] and got[k].n_dropped == 2 for k in range(1, 40))
+    assert all(got[100 + k].text == copied for k in range(30))
+    assert got[200].text is None and got[201].text == ""
+
+
+def test_classifier_held_out(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(["th", "er", "on", "an", "re"]) for _ in range(r.randint(1, 4)))
+    rows, labels = [], []
+    for k in range(400):
+        words = [word() for _ in range(40)]
+        kind = k % 4
+        if kind == 1:
+            words = [w + "###" for w in words]
+        if kind == 2:
+            words[r.randrange(40)] = "zounds"
+        rows.append((k, " ".join(words)))
+        if k < 300:
+            labels.append((k, int(kind != 1), int(kind == 2)))
+    rows += [(900, None), (901, " ")]
+    docs, told = _table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scored = {x.doc_id: x.kept for x in quality_model.score(docs, quality_model.train(docs, told)).collect()}
+    assert not scored[900] and not scored[901]
+    assert sum(scored[k] == (k % 4 in (0, 3)) for k in range(300, 400)) >= 95
+    none = quality_model.score(docs, quality_model.train(docs, told.limit(0)))
+    assert none.where("kept").count() == 400
