@@ -30,10 +30,10 @@ def parse_resource(text: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes with a binary unit; one decimal from KiB on."""
+    """Bytes with a binary unit; one decimal, ties to even, from KiB on."""
     out = F.format_string("%d B", size.cast("long"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB")):
-        out = F.when(size >= 1024 ** (k + 1), F.format_string(f"%.1f {unit}", size / float(1024 ** (k + 1)))).otherwise(out)
+        out = F.when(size >= 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(size / float(1024 ** (k + 1)), 1))).otherwise(out)
     return out
 
 

@@ -1,4 +1,246 @@
-"""Registered queries over the test tables, and their oracle SQL."""
+"""Registered queries over the test tables, and their oracle SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no dependency graph; graph queries take one computed from ``part``:
+nodes are keys from 1, each depends on half of itself and on a third.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .operators import graph
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+EDGES = "(SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2)"
+NODES = "(SELECT p_partkey AS key, p_type AS rule, p_brand AS kind, p_size AS mtime, p_size % 7 = 0 AS changed FROM part WHERE p_partkey >= 1)"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def both(name: str, sql: str, spark_sql: str | None = None) -> None:
+    """A query in SQL that both engines read; ``{table}`` names a table."""
+    tables = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations") if "{" + t + "}" in sql]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(spark_sql or sql, **{t: table(spark, sf_dir, t) for t in tables})
+
+    QUERIES[name] = run
+    ORACLES[name] = sql.format(**{t: t for t in tables})
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").where("p_partkey >= 1")
+    return part.select(F.col("p_partkey").alias("key"), F.col("p_type").alias("rule"), F.col("p_brand").alias("kind"), F.col("p_size").alias("mtime"), (F.col("p_size") % 7 == 0).alias("changed"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("child"))
+    halves = key.where("child > 1").select("child", F.expr("child div 2").alias("parent"))
+    return halves.unionByName(key.where("child > 2").select("child", F.expr("child div 3").alias("parent"))).distinct()
+
+
+def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir).where("key % 97 = 0").select("key")
+
+
+@query("SELECT count(*) AS n, sum(length(text)) AS chars FROM documents")
+def src_scan_external(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT source, max(n_chars) AS mtime FROM documents GROUP BY source")
+def store_mtime_max(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("mtime"))
+
+
+@query("SELECT source, sum(n_chars)::BIGINT AS size FROM documents WHERE lang <> 'de' GROUP BY source")
+def output_size_sum(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang <> 'de'").groupBy("source").agg(F.sum("n_chars").alias("size"))
+
+
+@query("SELECT o_orderkey, concat_ws('/', o_orderstatus, substr(sha256(o_orderpriority), 1, 16), coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'f' END, CASE WHEN o_orderkey % 3 = 1 THEN 'o' END, 'output')) AS node_key FROM orders")
+def node_key(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    made = S.node_key(F.col("o_orderstatus"), F.substring(F.sha2("o_orderpriority", 256), 1, 16), F.when(k == 0, "f"), F.when(k == 1, "o"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", made.alias("node_key"))
+
+
+@query("SELECT doc_id, octet_length(encode(replace(text, ' ', '/')))<= 4096 AND NOT list_bool_or(list_transform(string_split(replace(text, ' ', '/'), '/'), lambda x: octet_length(encode(x)) > 20)) AS fits FROM documents")
+def path_limits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.path_fits(F.replace(F.col("text"), F.lit(" "), F.lit("/")), 20).alias("fits"))
+
+
+_SUFFIX = "CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN 'K' WHEN 2 THEN 'Mi' WHEN 3 THEN 'G' WHEN 4 THEN 'Ti' ELSE 'x' END"
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_size::BIGINT WHEN 1 THEN p_size * 1000::BIGINT WHEN 2 THEN p_size * 1048576::BIGINT WHEN 3 THEN p_size * 1000000000::BIGINT WHEN 4 THEN p_size * 1099511627776::BIGINT END AS amount FROM part")
+def parse_resource(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", S.parse_resource(F.concat(F.col("p_size").cast("string"), F.expr(_SUFFIX))).alias("amount"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%d B', n_chars) END AS size FROM documents")
+def human_size(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.human_size(F.col("n_chars")).alias("size"))
+
+
+@query("SELECT DISTINCT p_type, lower(regexp_replace(regexp_replace(p_type, '([A-Z])', '_\\1', 'g'), '^_', '')) AS snake FROM part")
+def pascal_to_snake(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_type", S.pascal_to_snake(F.col("p_type")).alias("snake")).distinct()
+
+
+@query("SELECT event_id, replace(replace(translate(props, ' /:\\?\"<>|,;=', '____________'), '.', 'p'), '*', 'star') AS label FROM events")
+def sanitize_label(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.sanitize(F.col("props")).alias("label"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_get_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def _text(name: str, column, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", column().alias("text"))
+    ORACLES[name] = f"SELECT doc_id, {oracle} AS text FROM documents"
+
+
+_text("text_upper_ascii", lambda: S.ascii_upper(F.col("text")), f"translate(text, '{S.LOWER}', '{S.UPPER}')")
+_text("text_lower_ascii", lambda: S.ascii_lower(F.col("text")), f"translate(text, '{S.UPPER}', '{S.LOWER}')")
+_text("text_rot13", lambda: S.rot13(F.col("text")), f"translate(text, '{S.UPPER}{S.LOWER}', '{S.UPPER[13:]}{S.UPPER[:13]}{S.LOWER[13:]}{S.LOWER[:13]}')")
+_text("text_reverse_lines", lambda: S.reverse_lines(F.col("text")), "array_to_string(list_transform(string_split(text, chr(10)), lambda x: reverse(x)), chr(10))")
+
+both("grid_cross_product", "SELECT r_name, o_orderpriority, c_mktsegment FROM {region} CROSS JOIN (SELECT DISTINCT o_orderpriority FROM {orders}) a CROSS JOIN (SELECT DISTINCT c_mktsegment FROM {customer}) b")
+both("recal_filter", "SELECT l_orderkey, l_partkey, l_suppkey FROM {lineitem} WHERE l_linenumber = 1 AND l_discount <= 0.05")
+both("recal_fit", "SELECT median(l_quantity) AS offset_q, min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem} WHERE l_linenumber = 1 AND l_discount <= 0.05")
+both("state_counts", "SELECT o_orderstatus AS state, count(*) AS n FROM {orders} GROUP BY o_orderstatus")
+both("resource_usage", "SELECT l_returnflag AS resource, CAST(sum(l_quantity) AS BIGINT) AS used, 1000000 - CAST(sum(l_quantity) AS BIGINT) AS available FROM {lineitem} GROUP BY l_returnflag")
+both("resolve_labels", "SELECT r.r_name AS label, n.n_name AS node FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey")
+both("compromised_filter", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus IN ('F', 'P')")
+both("invalidation_filter", "SELECT p_partkey FROM {part} WHERE p_brand IS NOT NULL AND p_brand IS DISTINCT FROM CASE WHEN p_size % 5 <> 0 THEN p_brand END")
+both("admission_prefix", "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) AS used FROM {part} WHERE p_partkey < 100) x WHERE used <= 500")
+both("schedule_order_fifo", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM {part} WHERE p_partkey < 500")
+both("section_agreement", "SELECT p_brand, CASE WHEN count(DISTINCT coalesce(p_type, '~')) = 1 THEN min(p_type) END AS section FROM {part} GROUP BY p_brand")
+both("adjacent_dedup", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) x WHERE before IS DISTINCT FROM role")
+both("line_sort", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY text, turn) AS place FROM {conversations}")
+both("union_all_ordered", "SELECT 1 AS part, r_name AS name FROM {region} UNION ALL SELECT 2 AS part, n_name AS name FROM {nation}")
+both("zip_lines", "SELECT coalesce(a.k, b.k) AS k, a.r_name, b.n_name FROM (SELECT r_regionkey AS k, r_name FROM {region}) a FULL OUTER JOIN (SELECT n_nationkey AS k, n_name FROM {nation}) b ON a.k = b.k")
+both("rule_call_groups", "SELECT p_type, p_brand, bool_or(p_size > 40) AS any_large, max(p_size) AS threads, count(*) AS n FROM {part} GROUP BY p_type, p_brand")
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS lines FROM documents")
+def text_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.regexp_count("text", F.lit("\n")).cast("long").alias("lines"))
+
+
+@query("SELECT vec_id, i FROM (SELECT vec_id, unnest(range(1, 1 + label % 4)) AS i FROM embeddings)")
+def repeat_rows(spark, sf_dir):
+    some = table(spark, sf_dir, "embeddings").where("label % 4 > 0")
+    return some.select("vec_id", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("label") % 4).cast("long"))).alias("i"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings ORDER BY list_sum(list_transform(embedding, lambda x: x::DOUBLE)) DESC, vec_id LIMIT 20")
+def topk_by_array_sum(spark, sf_dir):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", total.alias("t")).orderBy(F.desc("t"), "vec_id").limit(20).select("vec_id", F.round("t", 4).alias("total"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / (1 + 5 * 1e-6))), 6) AS total FROM embeddings")
+def recal_apply(spark, sf_dir):
+    moved = S.recalibrate(F.transform("embedding", lambda x: x.cast("double")), F.lit(5))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(moved, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x >= 0.01 * list_max(embedding)))::BIGINT AS n FROM embeddings")
+def array_rel_threshold(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.filter("embedding", lambda x: x >= 0.01 * F.array_max("embedding"))).cast("long").alias("n"))
+
+
+@query(f"SELECT key FROM {NODES} n WHERE key NOT IN (SELECT parent FROM {EDGES} e)")
+def dag_sinks(spark, sf_dir):
+    return graph.sinks(nodes(spark, sf_dir), edges(spark, sf_dir)).select("key")
+
+
+@query(f"SELECT child, parent FROM {EDGES} e WHERE child % 2 = 0 AND parent % 2 = 0 AND parent >= 1")
+def graph_edges(spark, sf_dir):
+    even = nodes(spark, sf_dir).where("key % 2 = 0").select("key")
+    return edges(spark, sf_dir).join(even.toDF("child"), "child", "left_semi").join(even.toDF("parent"), "parent", "left_semi").select("child", "parent")
+
+
+_CLOSURE = f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, c AS (SELECT p_partkey AS key FROM part WHERE p_partkey >= 1 AND p_partkey % 97 = 0 UNION SELECT e.parent FROM c JOIN e ON e.child = c.key)"
+
+
+@query(_CLOSURE + " SELECT key FROM c")
+def dag_required_closure(spark, sf_dir):
+    return graph.closure(requested(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, c AS (SELECT 1999::BIGINT AS key UNION SELECT e.parent FROM c JOIN e ON e.child = c.key) SELECT key FROM c")
+def dag_ancestors(spark, sf_dir):
+    return graph.closure(spark.createDataFrame([(1999,)], "key long"), edges(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS key, floor(log2(p_partkey))::INT AS level FROM part WHERE p_partkey >= 1")
+def dag_topo_levels(spark, sf_dir):
+    return graph.levels(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+_CUT = "SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 AND p_partkey NOT BETWEEN 8 AND 15"
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED ({_CUT}), up AS (SELECT p_partkey AS key, p_partkey AS r FROM part WHERE p_partkey >= 1 UNION ALL SELECT up.key, e.b FROM up JOIN e ON e.a = up.r) SELECT key, min(r) AS component FROM up GROUP BY key")
+def dag_components(spark, sf_dir):
+    kept = table(spark, sf_dir, "part").where("p_partkey > 1 AND p_partkey NOT BETWEEN 8 AND 15")
+    return graph.components(nodes(spark, sf_dir), kept.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent")))
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, s AS (SELECT p_partkey AS key FROM part WHERE p_partkey >= 1 AND p_size % 11 = 0 UNION SELECT e.child FROM s JOIN e ON e.parent = s.key) SELECT key FROM s")
+def stale_propagation(spark, sf_dir):
+    return graph.descendants(nodes(spark, sf_dir).where("mtime % 11 = 0"), edges(spark, sf_dir))
+
+
+@query(
+    _CLOSURE + f""", n AS (SELECT key, mtime, changed, key % 5 <> 0 AS present, key % 50 = 1 AS token FROM {NODES} x),
+ci AS (SELECT e.child, e.parent FROM e JOIN c a ON a.key = e.child JOIN c b ON b.key = e.parent),
+seed AS (SELECT n.key FROM n JOIN c USING (key) WHERE NOT present OR token UNION
+  SELECT ci.child FROM ci JOIN n x ON x.key = ci.child JOIN n y ON y.key = ci.parent WHERE y.mtime > x.mtime AND y.changed),
+st AS (SELECT key FROM seed UNION SELECT ci.child FROM st JOIN ci ON ci.parent = st.key)
+SELECT n.key, CASE WHEN c.key IS NULL THEN CASE WHEN present THEN 'ORPHAN' END WHEN NOT present THEN 'MISSING' WHEN st.key IS NOT NULL THEN 'STALE' ELSE 'UP_TO_DATE' END AS state
+FROM n LEFT JOIN c USING (key) LEFT JOIN st USING (key)"""
+)
+def classify_states(spark, sf_dir):
+    rows = nodes(spark, sf_dir).select("key", "mtime", "changed", (F.col("key") % 5 != 0).alias("exists"), (F.col("key") % 50 == 1).alias("token_changed"))
+    return graph.classify(rows, edges(spark, sf_dir), requested(spark, sf_dir))
+
+
+@query("SELECT p_type, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS k FROM part) x WHERE k = 1")
+def dag_dedup_first_wins(spark, sf_dir):
+    return graph.first_wins(table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_size"), "p_type", ["p_size", "p_partkey"])
+
+
+@query("SELECT p_partkey, array_to_string(list_sort([p_brand, p_type]), '|') AS contract FROM part")
+def type_contract(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.array("p_brand", "p_type")), "|").alias("contract"))
+
+
+@query(f"SELECT e.child, e.parent, x.l::INT AS layer FROM {EDGES} e, unnest(range(floor(log2(parent))::BIGINT + 1, floor(log2(child))::BIGINT)) AS x(l) WHERE parent >= 1")
+def edge_span_expand(spark, sf_dir):
+    level = lambda c: F.floor(F.log2(c)).cast("int")
+    found = edges(spark, sf_dir).where("parent >= 1").select("child", "parent", level(F.col("parent")).alias("p"), level(F.col("child")).alias("c")).where("c - p > 1")
+    return found.select("child", "parent", F.explode(F.sequence(F.col("p") + 1, F.col("c") - 1)).alias("layer"))
