@@ -16,8 +16,8 @@ elsewhere the line, or the sentence, is dropped.
 
 from __future__ import annotations
 
-import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +38,7 @@ FIELD_LINES = range(8, 41)
 LEADING = 2
 _DIGITS = re.compile(r"\S*\d\S*?(?=[.!?]*(?:\s|$))")
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
-_CACHE = 100_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return h
+_DIGIT = re.compile(r"\d")
 
 
 def _sign(kind: str, short: bool, words: list[str] | str) -> int:
@@ -56,7 +48,10 @@ def _sign(kind: str, short: bool, words: list[str] | str) -> int:
 
 
 def line_templates(line: str) -> list[int]:
-    tokens = line.split()
+    return _line_templates(line.split())
+
+
+def _line_templates(tokens: list[str]) -> list[int]:
     n = len(tokens)
     if n < LEAST_LINE:
         return []
@@ -68,20 +63,23 @@ def line_templates(line: str) -> list[int]:
     return out
 
 
-def parse(text: str) -> list[tuple[str, list[int], list[tuple[str, int | None]]]]:
-    """For each line: itself, its templates, and its sentences with theirs (none if too short)."""
-    lines = text.split("\n")
-    general = _DIGITS.sub("<*>", text).split("\n") if re.search(r"\d", text) else lines
-    out = []
-    for line, low in zip(lines, general, strict=True):
-        sentences, same = _SENTENCE.split(line), _SENTENCE.split(low)
-        if len(same) != len(sentences):
+def parse(text: str, words: set[str] | None = None) -> list[tuple[str, list[int], list[tuple[str, int | None]]]]:
+    """For each line: itself, its templates, and its sentences with theirs (none if too short).
+
+    ``words``, if given, gets the text's tokens, generalised.
+    """
+    digits, out = _DIGIT.search(text) is not None, []
+    for line in text.split("\n"):
+        low = _DIGITS.sub("<*>", line) if digits and _DIGIT.search(line) else line
+        tokens = low.split()
+        if words is not None:
+            words.update(tokens)
+        sentences = same = _SENTENCE.split(line)
+        if low is not line and len(same := _SENTENCE.split(low)) != len(sentences):
             same = sentences
-        inside = []
-        for s, g in zip(sentences, same, strict=True):
-            long = g.count(" ") >= LEAST_SENTENCE - 1
-            inside.append((s, _sign("sentence", False, g.strip()) if long else None))
-        out.append((line, line_templates(low), inside))
+        # Eight tokens have fifteen characters at least.
+        signs = [_sign("sentence", False, g.strip()) if len(g) > 14 and g.count(" ") >= LEAST_SENTENCE - 1 else None for g in same]
+        out.append((line, _line_templates(tokens), list(zip(sentences, signs, strict=True))))
     return out
 
 
@@ -105,26 +103,26 @@ def remaining(parsed: list, recurs) -> tuple[str, int]:
     return "\n".join(kept), touched
 
 
-def _lowest(text: str, hashes: _Hashes, n: int = 16) -> list[str]:
-    """The longer words of a text with the smallest hashes."""
-    words = set(text.split())
-    return heapq.nsmallest(n, {w for w in words if len(w) >= 6} or words or {""}, key=hashes.__getitem__)
+def _sample(words: set[str]) -> list[tuple[int, str]]:
+    """(hash, word) of the longer words with the smallest hashes; a sample by hash, where there are many."""
+    hashed = [(zlib.crc32(w.encode("utf-8", "replace")), w) for w in words if len(w) >= 6] or [(zlib.crc32(w.encode("utf-8", "replace")), w) for w in words or ("",)]
+    few = [x for x in hashed if x[0] < 1 << 28]
+    return sorted(few if len(few) >= 8 else hashed)[:16]
 
 
-def _unit_rows(text: str, hashes: _Hashes) -> dict[int, int]:
+def _unit_rows(text: str) -> dict[int, int]:
     """Template -> sketch of the document without the line that the template is of."""
-    low, out = _lowest(text, hashes), {}
-    for line, templates, sentences in parse(text):
+    words: set[str] = set()
+    parsed, out = parse(text, words), {}
+    low = _sample(words)
+    for line, templates, sentences in parsed:
         own = [*templates, *(s for _, s in sentences if s is not None)]
         if own:
-            sketch = hashes[next((w for w in low if w not in line), low[0])] >> 1
-            out.update(dict.fromkeys(own, sketch))
+            out.update(dict.fromkeys(own, next((h for h, w in low if w not in line), low[0][0])))
     return out
 
 
-@lean
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
     for b in batches:
         templates: list[int] = []
         sketches: list[int] = []
@@ -133,7 +131,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = t.as_py()
             if not text:
                 continue
-            own = _unit_rows(text, hashes)
+            own = _unit_rows(text)
             templates += own
             sketches += own.values()
             ids += [i.as_py()] * len(own)
