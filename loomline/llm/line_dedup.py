@@ -41,10 +41,13 @@ _SENTENCE = re.compile(r"(?<=[.!?]) +")
 _DIGIT = re.compile(r"\d")
 
 
-def _sign(kind: str, short: bool, words: list[str] | str) -> int:
-    """A template's signed 63-bit number; odd if it needs more documents to recur."""
-    text = words if isinstance(words, str) else " ".join(words)
-    return (xxhash.xxh3_64_intdigest(f"{kind}\n{text}".encode("utf-8", "replace")) >> 2 << 1) | short
+#: Kinds of templates; a line of n tokens with its quarter q generalised is of kind FIELDS + 4 * n + q.
+LINE, SENTENCE, FIELDS = 1, 2, 16
+
+
+def _sign(kind: int, short: bool, text: str) -> int:
+    """A template's 63-bit number; odd if it needs more documents to recur."""
+    return (xxhash.xxh3_64_intdigest(text.encode(), kind) >> 2 << 1) | short
 
 
 def line_templates(line: str) -> list[int]:
@@ -55,11 +58,11 @@ def _line_templates(tokens: list[str]) -> list[int]:
     n = len(tokens)
     if n < LEAST_LINE:
         return []
-    out = [_sign("line", n < SHORT, tokens)]
+    out = [_sign(LINE, n < SHORT, " ".join(tokens))]
     if n in FIELD_LINES:
         for q in range(4):
             a, b = (LEADING + (n - LEADING) * k // 4 for k in (q, q + 1))
-            out.append(_sign(f"{n} {q}", False, tokens[:a] + ["<*>"] + tokens[b:]))
+            out.append(_sign(FIELDS + 4 * n + q, False, " ".join([*tokens[:a], "<*>", *tokens[b:]])))
     return out
 
 
@@ -78,7 +81,7 @@ def parse(text: str, words: set[str] | None = None) -> list[tuple[str, list[int]
         if low is not line and len(same := _SENTENCE.split(low)) != len(sentences):
             same = sentences
         # Eight tokens have fifteen characters at least.
-        signs = [_sign("sentence", False, g.strip()) if len(g) > 14 and g.count(" ") >= LEAST_SENTENCE - 1 else None for g in same]
+        signs = [_sign(SENTENCE, False, g.strip()) if len(g) > 14 and g.count(" ") >= LEAST_SENTENCE - 1 else None for g in same]
         out.append((line, _line_templates(tokens), list(zip(sentences, signs, strict=True))))
     return out
 
