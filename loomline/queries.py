@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import graph
+from .operators import graph, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).where("key % 97 = 0").select("key")
+    return nodes(spark, sf_dir).where("mtime = 7").select("key")
 
 
 @query("SELECT count(*) AS n, sum(length(text)) AS chars FROM documents")
@@ -134,8 +134,8 @@ both("resource_usage", "SELECT l_returnflag AS resource, CAST(sum(l_quantity) AS
 both("resolve_labels", "SELECT r.r_name AS label, n.n_name AS node FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey")
 both("compromised_filter", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus IN ('F', 'P')")
 both("invalidation_filter", "SELECT p_partkey FROM {part} WHERE p_brand IS NOT NULL AND p_brand IS DISTINCT FROM CASE WHEN p_size % 5 <> 0 THEN p_brand END")
-both("admission_prefix", "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) AS used FROM {part} WHERE p_partkey < 100) x WHERE used <= 500")
-both("schedule_order_fifo", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM {part} WHERE p_partkey < 500")
+both("admission_prefix", "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS used FROM {part}) x WHERE used <= 500")
+both("schedule_order_fifo", "SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS place FROM {part}")
 both("section_agreement", "SELECT p_brand, CASE WHEN count(DISTINCT coalesce(p_type, '~')) = 1 THEN min(p_type) END AS section FROM {part} GROUP BY p_brand")
 both("adjacent_dedup", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) x WHERE before IS DISTINCT FROM role")
 both("line_sort", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY text, turn) AS place FROM {conversations}")
@@ -177,13 +177,13 @@ def dag_sinks(spark, sf_dir):
     return graph.sinks(nodes(spark, sf_dir), edges(spark, sf_dir)).select("key")
 
 
-@query(f"SELECT child, parent FROM {EDGES} e WHERE child % 2 = 0 AND parent % 2 = 0 AND parent >= 1")
+@query(f"WITH s AS (SELECT key FROM {NODES} n WHERE mtime <= 25) SELECT child, parent FROM {EDGES} e WHERE child IN (FROM s) AND parent IN (FROM s)")
 def graph_edges(spark, sf_dir):
-    even = nodes(spark, sf_dir).where("key % 2 = 0").select("key")
-    return edges(spark, sf_dir).join(even.toDF("child"), "child", "left_semi").join(even.toDF("parent"), "parent", "left_semi").select("child", "parent")
+    some = nodes(spark, sf_dir).where("mtime <= 25").select("key")
+    return edges(spark, sf_dir).join(some.toDF("child"), "child", "left_semi").join(some.toDF("parent"), "parent", "left_semi").select("child", "parent")
 
 
-_CLOSURE = f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, c AS (SELECT p_partkey AS key FROM part WHERE p_partkey >= 1 AND p_partkey % 97 = 0 UNION SELECT e.parent FROM c JOIN e ON e.child = c.key)"
+_CLOSURE = f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, c AS (SELECT p_partkey AS key FROM part WHERE p_partkey >= 1 AND p_size = 7 UNION SELECT e.parent FROM c JOIN e ON e.child = c.key)"
 
 
 @query(_CLOSURE + " SELECT key FROM c")
@@ -210,9 +210,9 @@ def dag_components(spark, sf_dir):
     return graph.components(nodes(spark, sf_dir), kept.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent")))
 
 
-@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, s AS (SELECT p_partkey AS key FROM part WHERE p_partkey >= 1 AND p_size % 11 = 0 UNION SELECT e.child FROM s JOIN e ON e.parent = s.key) SELECT key FROM s")
+@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, s AS (SELECT p_partkey AS key FROM part WHERE p_partkey >= 1 AND p_size = 11 UNION SELECT e.child FROM s JOIN e ON e.parent = s.key) SELECT key FROM s")
 def stale_propagation(spark, sf_dir):
-    return graph.descendants(nodes(spark, sf_dir).where("mtime % 11 = 0"), edges(spark, sf_dir))
+    return graph.descendants(nodes(spark, sf_dir).where("mtime = 11"), edges(spark, sf_dir))
 
 
 @query(
@@ -244,3 +244,87 @@ def edge_span_expand(spark, sf_dir):
     level = lambda c: F.floor(F.log2(c)).cast("int")
     found = edges(spark, sf_dir).where("parent >= 1").select("child", "parent", level(F.col("parent")).alias("p"), level(F.col("child")).alias("c")).where("c - p > 1")
     return found.select("child", "parent", F.explode(F.sequence(F.col("p") + 1, F.col("c") - 1)).alias("layer"))
+
+
+#: Nodes with a call and a state of their own, for both engines.
+STATES = "(SELECT p_partkey AS key, p_brand AS call, p_size AS mtime, p_size % 7 = 0 AS changed, p_size % 5 <> 0 AS present, p_size % 9 = 1 AS token, CASE WHEN p_size <= 30 THEN 'UP_TO_DATE' WHEN p_size <= 44 THEN 'STALE' WHEN p_size <= 48 THEN 'ORPHAN' ELSE 'FAILED' END AS state FROM part WHERE p_partkey >= 1)"
+
+
+def with_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(STATES[1:-1].replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+@query(
+    f"""WITH n AS {STATES}, o AS (SELECT child AS key, bool_or(state IN ('FAILED', 'INTERRUPTED')) AS b, bool_and(state = 'UP_TO_DATE') AS r FROM {EDGES} e JOIN n ON n.key = e.parent GROUP BY child)
+SELECT n.key, CASE WHEN state IN ('STALE', 'MISSING') AND coalesce(b, false) THEN 'FAILED' WHEN state IN ('STALE', 'MISSING') AND coalesce(r, true) THEN 'READY' ELSE state END AS state FROM n LEFT JOIN o USING (key)"""
+)
+def promote_states(spark, sf_dir):
+    return states.promote(with_states(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED {EDGES}, n AS {STATES}, d AS (SELECT key FROM n WHERE state = 'UP_TO_DATE' AND mtime = 3 UNION SELECT e.child FROM d JOIN e ON e.parent = d.key)
+SELECT key, CASE WHEN state = 'UP_TO_DATE' AND key IN (FROM d) THEN 'STALE' ELSE state END AS state FROM n"""
+)
+def forced_stale(spark, sf_dir):
+    rows = with_states(spark, sf_dir)
+    return states.force_stale(rows, edges(spark, sf_dir), rows.where("mtime = 3").select("key"))
+
+
+@query(
+    f"""WITH n AS {STATES}, o AS (SELECT c.key, bool_or(p.state IN ('FAILED', 'INTERRUPTED')) AS b, bool_or(p.state IN ('STALE', 'MISSING')) AS w, bool_or(p.mtime > c.mtime AND p.changed) AS m
+  FROM {EDGES} e JOIN n p ON p.key = e.parent JOIN n c ON c.key = e.child GROUP BY c.key), r AS (
+SELECT key, 'output_missing' AS reason FROM n WHERE NOT present UNION ALL SELECT key, 'blocked_by_failed_parent' FROM o WHERE b
+UNION ALL SELECT key, 'compromised_prior_state' FROM n WHERE state IN ('FAILED', 'INTERRUPTED', 'RUNNING') UNION ALL SELECT key, 'invalidator_changed' FROM n WHERE token
+UNION ALL SELECT key, 'parent_not_up_to_date' FROM o WHERE w UNION ALL SELECT key, 'parent_content_changed' FROM o WHERE m)
+SELECT * FROM r UNION ALL SELECT key, CASE WHEN state = 'UP_TO_DATE' THEN 'up_to_date' ELSE 'stale' END FROM n WHERE key NOT IN (SELECT key FROM r)"""
+)
+def explain_reasons(spark, sf_dir):
+    rows = with_states(spark, sf_dir).withColumnsRenamed({"present": "exists", "token": "token_changed"})
+    return states.reasons(rows, edges(spark, sf_dir))
+
+
+@query(f"WITH n AS {STATES} SELECT key, CASE WHEN call IN (SELECT call FROM n WHERE state <> 'ORPHAN') THEN 'remove_output' ELSE 'remove_call' END AS action FROM n WHERE state = 'ORPHAN'")
+def orphan_actions(spark, sf_dir):
+    return states.orphan_actions(with_states(spark, sf_dir))
+
+
+_CALLS = "(SELECT * REPLACE (key // 2 AS call) FROM " + STATES + " x)"
+
+
+@query(
+    f"""WITH n AS {_CALLS}, o AS (SELECT e.parent AS key, bool_and(state = 'UP_TO_DATE') AS done FROM {EDGES} e JOIN n ON n.key = e.child GROUP BY 1)
+SELECT call FROM n LEFT JOIN o USING (key) GROUP BY call HAVING bool_and(coalesce(done, false))"""
+)
+def removable_intermediates(spark, sf_dir):
+    return states.removable(with_states(spark, sf_dir).withColumn("call", F.expr("key div 2")), edges(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS label FROM orders WHERE o_orderstatus = 'O' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def manifest_requested(spark, sf_dir):
+    required = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("label"))
+    return states.manifest(required, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")))
+
+
+@query("SELECT p_type AS actual, p_brand AS expected, p_partkey FROM part WHERE (p_type, p_brand) NOT IN (SELECT (p_type, p_brand) FROM part WHERE p_size < 20)")
+def type_violations(spark, sf_dir):
+    pairs = table(spark, sf_dir, "part").select(F.col("p_type").alias("actual"), F.col("p_brand").alias("expected"), "p_partkey", "p_size")
+    return states.type_violations(pairs.drop("p_size"), pairs.where("p_size < 20").select("actual", "expected").distinct())
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@query("SELECT conv_id, array_to_string(list(role ORDER BY turn), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2) x GROUP BY conv_id")
+def ordered_distinct(spark, sf_dir):
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn"))
+    # One entry for each role: the list is as long as there are roles.
+    kept = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return first.groupBy("conv_id").agg(F.array_join(F.transform(kept, lambda x: x["role"]), ",").alias("roles"))
+
+
+both("exec_summary", "SELECT o.o_orderkey, o.o_orderstatus AS state, count(*) AS n_outputs, CAST(sum(l.l_quantity) AS BIGINT) AS size FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderstatus")
+both("config_patch", "SELECT coalesce(a.c_custkey, b.s_suppkey) AS k, coalesce(b.s_name, a.c_name) AS v FROM {customer} a FULL OUTER JOIN {supplier} b ON a.c_custkey = b.s_suppkey")
+both("head_n", "SELECT event_id, user_id FROM {events} ORDER BY user_id, event_id LIMIT 100")
