@@ -6,7 +6,6 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .rules import Call, Node, lineage
 
@@ -84,8 +83,10 @@ class Workspace:
         parents = {n: self.read(p) for n, p in call.parents.items()}
         rule = call.rule
         if rule.sql is not None:
-            # Parameters go in as literals and DataFrames as views; nothing is pasted into the text.
-            made = self.spark.sql(rule.sql, **parents, **{k: F.lit(v) for k, v in call.config.items()})
+            # DataFrames go in as views; the formatter quotes strings, and other parameters have to be plain numbers or booleans.
+            if odd := [k for k, v in call.config.items() if not isinstance(v, str | int | float)]:
+                raise ValueError(f"{rule.name}: parameters of an SQL rule that aren't scalars: {', '.join(odd)}")
+            made = self.spark.sql(rule.sql, **parents, **call.config)
         else:
             made = rule.function(self.spark, **parents, **call.config)
         made = made if isinstance(made, tuple) else (made,)
