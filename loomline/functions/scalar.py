@@ -1,9 +1,16 @@
-"""Scalar library of the planner: names, labels, sizes, resources, text transforms.  All are built-in expressions."""
+"""Scalar library of the planner: names, labels, sizes, resources, text transforms.  Built-in expressions but for the two at the end."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..plans import config
+from ..plans import labels as words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Powers of resource suffixes.
@@ -79,3 +86,47 @@ def truncate_bytes(text: Column, most: int) -> Column:
 def recalibrate(values: Column, ppm: Column) -> Column:
     """Masses divided by 1 + ppm / 1e6."""
     return F.transform(values, lambda x: x / (1 + ppm * 1e-6))
+
+
+def grid_token(value: Column) -> Column:
+    """A text of a grid as part of a label."""
+    return sanitize(value)
+
+
+def number_token(value: Column) -> Column:
+    """A floating-point number as part of a label."""
+    return F.replace(F.replace(value.cast("string"), F.lit("."), F.lit("p")), F.lit("-"), F.lit("neg"))
+
+
+def grid_label(stem: Column, parts: dict[str, Column], most: int = 250, cut: int = 241) -> Column:
+    """``stem__name+token__...``; a label of over ``most`` bytes is cut at ``cut`` and ends in a digest."""
+    tail = F.concat_ws("__", *(F.concat(F.lit(f"{name.replace('.', '_')}+"), token) for name, token in parts.items()))
+    label = F.concat_ws("__", stem, tail)
+    return F.when(F.octet_length(label) <= most, label).otherwise(F.concat(truncate_bytes(label, cut), F.lit("_"), F.substring(F.md5(tail), 1, 8)))
+
+
+def cosort(first: Column, second: Column) -> Column:
+    """Pairs of two parallel arrays in order of the first."""
+    return F.array_sort(F.arrays_zip(first.alias("a"), second.alias("b")))
+
+
+def sine_bias(position: Column, length: Column | int, amplitude: float) -> Column:
+    """One period of a sine over ``length`` positions."""
+    return F.lit(amplitude) * F.sin(2 * F.pi() * position / length)
+
+
+@F.pandas_udf(StringType())
+def token_diff(base: pd.Series, value: pd.Series) -> pd.Series:
+    """The words of ``value`` that an alignment with ``base`` leaves over; no built-in aligns words."""
+    return pd.Series([None if a is None or b is None else words.token_diff(a, b) for a, b in zip(base, value, strict=True)], dtype=object)
+
+
+def json_set(text: Column, field: str, value: Column) -> Column:
+    """A JSON object with one dotted field set; tables on the way are made."""
+
+    @F.pandas_udf(StringType())
+    def put(documents: pd.Series, values: pd.Series) -> pd.Series:
+        made = (None if d is None else config.set_field(json.loads(d), field, None if v is None else json.loads(v)) for d, v in zip(documents, values, strict=True))
+        return pd.Series([None if m is None else json.dumps(m, separators=(",", ":"), ensure_ascii=False) for m in made], dtype=object)
+
+    return put(text, value)

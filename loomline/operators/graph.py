@@ -98,3 +98,45 @@ def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row for each key: the first in ``order``; pre-aggregated, so that a frequent key is no hot task."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
+
+
+def accumulate(settings: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, name, value): ``settings(key, name, value)`` of each node and its ancestors, merged.
+
+    A node's own value wins over its parents', a parent of a later ``position`` in
+    ``edges(child, parent, position)`` over an earlier one.
+    """
+    own = settings.select("key", "name", "value")
+
+    def fold(done: DataFrame, level: DataFrame) -> DataFrame:
+        given = level.join(done.withColumnRenamed("key", "parent"), "parent")
+        taken = given.groupBy(F.col("child").alias("key"), "name").agg(F.max_by("value", "position").alias("value"))
+        return taken.join(own, ["key", "name"], "left_anti").unionByName(own.join(level.select(F.col("child").alias("key")).distinct(), "key", "left_semi"))
+
+    return _by_level(own, edges, nodes, fold)
+
+
+def fingerprints(nodes: DataFrame, edges: DataFrame, recipe: str = "recipe") -> DataFrame:
+    """(key, fingerprint): 16 hex digits over a node's recipe and the fingerprints of its parents by ``position``.
+
+    The parents of one node are as many as its rule has inputs.
+    """
+    own = nodes.select("key", F.col(recipe).alias("_r"))
+    digest = lambda text: F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint")
+
+    def fold(done: DataFrame, level: DataFrame) -> DataFrame:
+        given = level.join(done.withColumnRenamed("key", "parent"), "parent").groupBy(F.col("child").alias("key"))
+        parents = given.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "fingerprint"))), lambda p: p["fingerprint"]), "|").alias("_p"))
+        return own.join(parents, "key").select("key", digest(F.concat_ws("|", "_r", "_p")))
+
+    return _by_level(own.select("key", digest(F.col("_r"))), edges, nodes, fold)
+
+
+def _by_level(start: DataFrame, edges: DataFrame, nodes: DataFrame, fold) -> DataFrame:
+    """Fold from the sources on: rows of ``start`` for these, ``fold(rows of lower levels, edges of the level)`` for the others."""
+    level = levels(nodes, edges.select("child", "parent"))
+    deep = _cut(edges.join(level.withColumnRenamed("key", "child"), "child"))
+    done = _cut(start.join(level.where("level = 0").select("key"), "key", "left_semi"))
+    for k in range(1, (level.agg(F.max("level")).first()[0] or 0) + 1):
+        done = _cut(done.unionByName(fold(done, deep.where(F.col("level") == k).drop("level"))))
+    return done

@@ -76,7 +76,7 @@ def explain(work: Workspace, wanted: list[Node], force: tuple[str, ...] = ()) ->
             reason = "up_to_date"
         elif state == "MISSING":
             reason = "output_missing"
-        elif call.rule.name in force:
+        elif {call.rule.name, call.fingerprint} & set(force):
             reason = "forced_invalidation"
         else:
             reason = "parent_not_up_to_date"

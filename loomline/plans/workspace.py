@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .rules import Call, Node, lineage
+from .scheduler import admit, needs, small_components_first
+from .scheduler import components as component_sizes
+
+#: Orders ready calls; sizes of components by fingerprint come with them.
+Scheduler = Callable[[Iterable[Call], dict[str, int]], list[Call]]
+
+
+class StoreLocked(RuntimeError):
+    """Another run holds the store."""
 
 
 @dataclass(frozen=True)
@@ -35,8 +47,12 @@ class Workspace:
         return f"{self.root}/{node.key}"
 
     def exists(self, node: Node) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(node)}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs, path = self._fs(f"{self.path(node)}/_SUCCESS")
+        return fs.exists(path)
+
+    def _fs(self, path: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def read(self, node: Node) -> DataFrame:
         return self.spark.read.parquet(self.path(node))
@@ -48,7 +64,7 @@ class Workspace:
             nodes = [Node(call, n) for n in call.rule.outputs]
             if not all(map(self.exists, nodes)):
                 state = "MISSING"
-            elif call.rule.name in force or any(p.call.fingerprint in runs for p in call.parents.values()):
+            elif {call.rule.name, call.fingerprint} & set(force) or any(p.call.fingerprint in runs for p in call.parents.values()):
                 state = "STALE"
             else:
                 state = "UP_TO_DATE"
@@ -57,27 +73,90 @@ class Workspace:
             out.append((call, state))
         return out
 
-    def execute(self, wanted: list[Node], *, keep_going: bool = False, dry_run: bool = False, force: tuple[str, ...] = ()) -> list[Event]:
-        """Make what is missing.  With ``keep_going``, calls that don't depend on a failed one still run."""
-        events, failed = [], set()
-        for call, state in self.plan(wanted, force):
-            began = time.monotonic()
-            if any(p.call.fingerprint in failed for p in call.parents.values()):
-                failed.add(call.fingerprint)
-                events.append(Event(call.rule.name, call.fingerprint, "BLOCKED", 0.0))
-            elif state == "UP_TO_DATE" or dry_run:
-                events.append(Event(call.rule.name, call.fingerprint, state, 0.0))
-            else:
-                try:
-                    self._run(call)
-                except Exception as error:
-                    if not keep_going:
-                        raise
-                    failed.add(call.fingerprint)
-                    events.append(Event(call.rule.name, call.fingerprint, "FAILED", time.monotonic() - began, str(error)[:500]))
-                else:
-                    events.append(Event(call.rule.name, call.fingerprint, "DONE", time.monotonic() - began))
-        return events
+    def execute(
+        self, wanted: list[Node], *, keep_going: bool = False, dry_run: bool = False, force: tuple[str, ...] = (),
+        caps: dict[str, int] | None = None, scheduler: Scheduler = small_components_first, autoclean: bool = False,
+    ) -> list[Event]:
+        """Make what is missing, as many calls at a time as ``caps`` admit (one thread, unless given); events in order of the plan.
+
+        With ``keep_going``, calls that don't depend on a failed one still run.  With
+        ``autoclean``, what no wanted node is made from goes before, and what only
+        served others after.  A store takes one run at a time.
+        """
+        plan = self.plan(wanted, force)
+        if dry_run:
+            return [Event(c.rule.name, c.fingerprint, s, 0.0) for c, s in plan]
+        caps, sizes = caps or {"threads": 1}, component_sizes(wanted)
+        events = {c.fingerprint: Event(c.rule.name, c.fingerprint, s, 0.0) for c, s in plan if s == "UP_TO_DATE"}
+        waiting = {c.fingerprint: c for c, s in plan if s != "UP_TO_DATE"}
+        running: dict[Future, Call] = {}
+        with self.lock(), ThreadPoolExecutor(max(1, min(caps.get("threads", len(plan)), len(plan) or 1))) as pool:
+            if autoclean:
+                self.remove_orphans(wanted)
+            while waiting or running:
+                for key, call in list(waiting.items()):
+                    if any(p.call.fingerprint in events and events[p.call.fingerprint].state in ("FAILED", "BLOCKED") for p in call.parents.values()):
+                        events[key] = Event(call.rule.name, key, "BLOCKED", 0.0)
+                        del waiting[key]
+                ready = [c for c in waiting.values() if all(p.call.fingerprint in events for p in c.parents.values())]
+                used: dict[str, int] = {}
+                for call in running.values():
+                    for k, n in needs(call).items():
+                        used[k] = used.get(k, 0) + n
+                for call in admit(scheduler(ready, sizes), caps, used):
+                    running[pool.submit(self._timed, call)] = waiting.pop(call.fingerprint)
+                for done in wait(running, return_when=FIRST_COMPLETED).done if running else ():
+                    call, (seconds, error) = running.pop(done), done.result()
+                    if error is not None and not keep_going:
+                        raise error
+                    state = "DONE" if error is None else "FAILED"
+                    events[call.fingerprint] = Event(call.rule.name, call.fingerprint, state, seconds, "" if error is None else str(error)[:500])
+            if autoclean and all(e.state in ("DONE", "UP_TO_DATE") for e in events.values()):
+                self.remove_intermediates(wanted)
+        return [events[c.fingerprint] for c, _ in plan]
+
+    def _timed(self, call: Call) -> tuple[float, Exception | None]:
+        began = time.monotonic()
+        try:
+            self._run(call)
+        except Exception as error:
+            return time.monotonic() - began, error
+        return time.monotonic() - began, None
+
+    @contextmanager
+    def lock(self) -> Iterator[None]:
+        """Hold the store: a file that only one run can create, on any file system of Spark."""
+        fs, path = self._fs(f"{self.root}/_lock")
+        fs.mkdirs(path.getParent())
+        if not fs.createNewFile(path):
+            raise StoreLocked(f"another run holds {self.root}; if there is none, delete {path}")
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
+    def _calls(self) -> dict[str, object]:
+        """Directories of calls in the store by rule/fingerprint; names that start with an underscore are no rules."""
+        fs, root = self._fs(self.root)
+        folders = [r for r in fs.listStatus(root) if r.isDirectory() and not r.getPath().getName().startswith("_")] if fs.exists(root) else []
+        return {f"{r.getPath().getName()}/{c.getPath().getName()}": c.getPath() for r in folders for c in fs.listStatus(r.getPath())}
+
+    def remove_orphans(self, wanted: list[Node]) -> list[str]:
+        """Delete calls that aren't in the lineage of ``wanted``."""
+        keep = {f"{c.rule.name}/{c.fingerprint}" for c in lineage(wanted)}
+        return self._remove({k: p for k, p in self._calls().items() if k not in keep})
+
+    def remove_intermediates(self, wanted: list[Node]) -> list[str]:
+        """Delete calls of the lineage that only served others."""
+        keep = {f"{n.call.rule.name}/{n.call.fingerprint}" for n in wanted}
+        within = {f"{c.rule.name}/{c.fingerprint}" for c in lineage(wanted)} - keep
+        return self._remove({k: p for k, p in self._calls().items() if k in within})
+
+    def _remove(self, paths: dict[str, object]) -> list[str]:
+        fs, _ = self._fs(self.root)
+        for path in paths.values():
+            fs.delete(path, True)
+        return sorted(paths)
 
     def _run(self, call: Call) -> None:
         parents = {n: self.read(p) for n, p in call.parents.items()}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import graph, states
+from .plans import grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -328,3 +329,95 @@ def ordered_distinct(spark, sf_dir):
 both("exec_summary", "SELECT o.o_orderkey, o.o_orderstatus AS state, count(*) AS n_outputs, CAST(sum(l.l_quantity) AS BIGINT) AS size FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderstatus")
 both("config_patch", "SELECT coalesce(a.c_custkey, b.s_suppkey) AS k, coalesce(b.s_name, a.c_name) AS v FROM {customer} a FULL OUTER JOIN {supplier} b ON a.c_custkey = b.s_suppkey")
 both("head_n", "SELECT event_id, user_id FROM {events} ORDER BY user_id, event_id LIMIT 100")
+
+_TREE = "(SELECT p_partkey AS key, p_partkey // 2 AS parent, p_brand AS name, p_size AS value FROM part WHERE p_partkey >= 1)"
+
+
+def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one setting each, and the edges to half of their keys."""
+    part = table(spark, sf_dir, "part").where("p_partkey >= 1")
+    settings = part.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("name"), F.col("p_size").alias("value"))
+    return settings, settings.where("key > 1").select(F.col("key").alias("child"), F.expr("key div 2").alias("parent"), F.lit(0).alias("position"))
+
+
+@query(
+    f"""WITH RECURSIVE t AS MATERIALIZED {_TREE}, up AS (SELECT key, key AS at, 0 AS steps FROM t UNION ALL SELECT up.key, t.parent, steps + 1 FROM up JOIN t ON t.key = up.at WHERE t.parent >= 1)
+SELECT up.key, t.name, arg_min(t.value, up.steps) AS value FROM up JOIN t ON t.key = up.at GROUP BY up.key, t.name"""
+)
+def accumulated_config(spark, sf_dir):
+    settings, up = tree(spark, sf_dir)
+    return graph.accumulate(settings, up, settings)
+
+
+@query(
+    f"""WITH RECURSIVE t AS MATERIALIZED {_TREE}, f AS (SELECT key, substr(sha256(name), 1, 16) AS fingerprint FROM t WHERE key = 1
+UNION ALL SELECT t.key, substr(sha256(t.name || '|' || f.fingerprint), 1, 16) FROM f JOIN t ON t.parent = f.key) SELECT key, fingerprint FROM f"""
+)
+def fingerprint_lineage(spark, sf_dir):
+    settings, up = tree(spark, sf_dir)
+    return graph.fingerprints(settings, up, "name")
+
+
+_TAIL = "'name+' || translate(repeat(p_name, 1 + p_size % 20), ' ', '_') || '__price+' || replace(p_size::DOUBLE::VARCHAR, '.', 'p')"
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN octet_length(encode('job__' || tail)) <= 250 THEN 'job__' || tail ELSE substr('job__' || tail, 1, 241) || '_' || substr(md5(tail), 1, 8) END AS label
+FROM (SELECT p_partkey, {_TAIL} AS tail FROM part) x"""
+)
+def grid_label(spark, sf_dir):
+    parts = {"name": S.grid_token(F.expr("repeat(p_name, 1 + p_size % 20)")), "price": S.number_token(F.col("p_size").cast("double"))}
+    return table(spark, sf_dir, "part").select("p_partkey", S.grid_label(F.lit("job"), parts).alias("label"))
+
+
+@query("SELECT doc_id, left(text, list_max(list_filter(range(0, 242), lambda k: octet_length(encode(left(text, k::BIGINT))) <= 241))::BIGINT) AS text FROM documents")
+def truncate_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.truncate_bytes(F.col("text"), 241).alias("text"))
+
+
+_CELLS = """(SELECT n_regionkey AS axis, n_nationkey AS element, 'name' AS key, n_name AS value FROM {nation} UNION ALL SELECT n_regionkey, n_nationkey, 'group', CAST(n_nationkey % 7 AS STRING) FROM {nation}
+UNION ALL SELECT n_regionkey, n_nationkey, 'region', CAST(n_regionkey AS STRING) FROM {nation})"""
+
+
+@query(
+    f"""WITH c AS {_CELLS.format(nation='nation')}, n AS (SELECT axis, count(DISTINCT element) AS n FROM c GROUP BY axis), k AS (SELECT axis, key, count(DISTINCT value) AS d, count(value) AS p FROM c GROUP BY axis, key)
+SELECT axis, min(CASE WHEN d = n AND p = n THEN key END) AS label_key FROM k JOIN n USING (axis) GROUP BY axis"""
+)
+def grid_auto_label(spark, sf_dir):
+    return grid.auto_label(spark.sql(_CELLS[1:-1], nation=table(spark, sf_dir, "nation")))
+
+
+@query("SELECT p_partkey, size, step FROM part, unnest(range(1, 2 + p_size % 3)) a(size), unnest(range(1, 2 + p_size % 2)) b(step)")
+def grid_nested_expand(spark, sf_dir):
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", "sequence(1L, 1L + p_size % 3) AS size", "sequence(1L, 1L + p_size % 2) AS step")
+    return grid.expand_rows(part, ["size", "step"])
+
+
+@query("SELECT event_id, CAST(json_merge_patch(props, json_object('at', json_object('user', user_id))) AS VARCHAR) AS props FROM events")
+def json_set_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.json_set(F.col("props"), "at.user", F.col("user_id").cast("string")).alias("props"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(string_split(text, ''), lambda c: c <> chr(10))), '') AS chars FROM conversations")
+def char_explode_sort(spark, sf_dir):
+    letters = F.filter(F.split("text", ""), lambda c: c != "\n")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(letters), "").alias("chars"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(len(embedding)), lambda i: {'v': embedding[i + 1], 'i': i})), lambda x: x.i), ',') AS places FROM embeddings")
+def array_cosort(spark, sf_dir):
+    places = F.sequence(F.lit(0), F.size("embedding") - 1)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(S.cosort(F.col("embedding"), places), lambda x: x["b"].cast("string")), ",").alias("places"))
+
+
+@query("SELECT vec_id, round(5 * sin(2 * pi() * vec_id / 500.0::DOUBLE), 6) AS bias FROM embeddings")
+def sin_bias(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.sine_bias(F.col("vec_id"), 500, 5.0), 6).alias("bias"))
+
+
+@query()
+def token_diff(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", S.token_diff("p_type", "p_name").alias("words"))
+
+
+both("schedule_order", "SELECT p_partkey, size, row_number() OVER (PARTITION BY size ORDER BY p_partkey) AS place FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_type, p_brand) AS size FROM {part}) x")
