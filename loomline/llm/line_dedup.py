@@ -7,10 +7,11 @@ quarter of the remaining tokens is generalised, so that lines that differ in one
 variable field still meet.  Sentences of at least ``LEAST_SENTENCE`` tokens inside a
 line have templates too (repeated passages often share a line with other text).
 
-A template recurs if it stands in enough documents that differ: documents are told
-apart by a one-value sketch (the smallest hash of their longer words outside the
-line), which copies and near copies share.  So copies of one document don't make its lines recurrent, and
-are left to document dedup.  The first document with a recurring template keeps it;
+A template recurs if it stands in enough documents that differ, however many copies of
+them there are: documents are told apart by a sketch of sixteen minima (of the hashes
+of their longer words outside the line or sentence), of which copies and near copies
+share half or more.  So copies of one document don't make its lines recurrent, and are
+left to document dedup.  The first document with a recurring template keeps it;
 elsewhere the line, or the sentence, is dropped.
 """
 
@@ -24,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lean, small_enough
 
 #: Tokens of a line or sentence to be looked at; documents that must differ, for short and other units.
 LEAST_LINE, LEAST_SENTENCE, SHORT, DOCS_SHORT, DOCS = 3, 8, 6, 20, 5
-#: Least share of documents that differ among those with the template, in per cent.
-DIFFERING = 25
+#: Minima of a sketch, of four bits each; documents that share ``SAME`` of them or more count as one.
+MINIMA, SAME = 16, 8
 #: Lines of so many tokens get templates with a generalised quarter.
 FIELD_LINES = range(8, 41)
 LEADING = 2
@@ -106,22 +107,49 @@ def remaining(parsed: list, recurs) -> tuple[str, int]:
     return "\n".join(kept), touched
 
 
-def _sample(words: set[str]) -> list[tuple[int, str]]:
-    """(hash, word) of the longer words with the smallest hashes; a sample by hash, where there are many."""
-    hashed = [(zlib.crc32(w.encode("utf-8", "replace")), w) for w in words if len(w) >= 6] or [(zlib.crc32(w.encode("utf-8", "replace")), w) for w in words or ("",)]
-    few = [x for x in hashed if x[0] < 1 << 28]
-    return sorted(few if len(few) >= 8 else hashed)[:16]
+def _bins(words: set[str]) -> list[list[tuple[int, str]]]:
+    """The longer words (all, if there is none) by the low bits of their hashes; in each bin by hash."""
+    bins: list[list[tuple[int, str]]] = [[] for _ in range(MINIMA)]
+    for w in [w for w in words if len(w) >= 6] or words:
+        h = zlib.crc32(w.encode("utf-8", "replace"))
+        bins[h % MINIMA].append((h, w))
+    for b in bins:
+        b.sort()
+    return bins
+
+
+def _sketch(bins: list[list[tuple[int, str]]], own: str) -> int:
+    """Four bits of the smallest hash of each bin, without the words that ``own`` holds; an empty bin takes the next one's, and 0 stands for no word at all."""
+    low = [next((h for h, w in b if w not in own), None) for b in bins]
+    if None in low:
+        filled = [k for k, h in enumerate(low) if h is not None]
+        if not filled:
+            return 0
+        low = [low[min(filled, key=lambda j: (j - k) % MINIMA)] for k in range(MINIMA)]
+    out = 0
+    for h in low:
+        out = out << 4 | h >> 4 & 15
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _differ(a: int, b: int) -> bool:
+    """Whether two sketches are of documents that differ."""
+    x = (a ^ b) & ((1 << 64) - 1)
+    x |= x >> 2
+    return ((x | x >> 1) & 0x1111111111111111).bit_count() > MINIMA - SAME
 
 
 def _unit_rows(text: str) -> dict[int, int]:
-    """Template -> sketch of the document without the line that the template is of."""
+    """Template -> sketch of the document without the line or sentence that the template is of."""
     words: set[str] = set()
     parsed, out = parse(text, words), {}
-    low = _sample(words)
+    bins = _bins(words)
     for line, templates, sentences in parsed:
-        own = [*templates, *(s for _, s in sentences if s is not None)]
-        if own:
-            out.update(dict.fromkeys(own, next((h for h, w in low if w not in line), low[0][0])))
+        if templates:
+            out.update(dict.fromkeys(templates, _sketch(bins, line)))
+        for sentence, t in sentences:
+            if t is not None:
+                out[t] = _sketch(bins, sentence)
     return out
 
 
@@ -142,13 +170,53 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (templates, sketches, ids)], names=["template", "sketch", "doc_id"])
 
 
+def _least(template: int) -> int:
+    return DOCS_SHORT if template & 1 else DOCS
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each template, sketches of the partition that differ from each other; a single row, with ``enough``, once there are as many as it takes."""
+    chosen: dict[int, list[int]] = {}
+    firsts: dict[int, int | None] = {}
+    for b in batches:
+        for t, s, first in zip(*(b.column(c).to_pylist() for c in ("template", "sketch", "first_doc")), strict=True):
+            firsts[t] = first
+            own = chosen.setdefault(t, [])
+            if len(own) < _least(t) and all(_differ(s, x) for x in own):
+                own.append(s)
+    rows = [(t, firsts[t], s, enough) for t, own in chosen.items() for enough in (len(own) >= _least(t),) for s in (own[:1] if enough else own)]
+    for at in range(0, len(rows), 65536):
+        columns = zip(*rows[at : at + 65536], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["template", "first_doc", "sketch", "enough"])
+
+
+def _how_many_differ(sketches: Column) -> Column:
+    """How many sketches are left if each that is like an earlier one goes."""
+
+    def same(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))) <= MINIMA - SAME
+
+    none = F.array().cast("array<bigint>")
+    return F.size(F.aggregate(sketches, none, lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.array_append(acc, x))))
+
+
 def recurring(docs: DataFrame) -> DataFrame:
-    """(template, first_doc) of each recurring template of ``docs(doc_id, text)``."""
+    """(template, first_doc) of each recurring template of ``docs(doc_id, text)``.
+
+    Only templates with enough distinct sketches are looked at further.  The rows of
+    one, dealt by template and sketch, are first thinned where they lie, so that none
+    gathers more than a few rows of each partition.
+    """
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units, "template long, sketch long, doc_id long")
-    differing = units.groupBy("template", "sketch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    counted = differing.groupBy("template").agg(F.count("*").alias("sketches"), F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
+    differing = units.groupBy("template", "sketch").agg(F.min("doc_id").alias("first_doc"))
     least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, F.lit(DOCS_SHORT)).otherwise(F.lit(DOCS))
-    return counted.where((F.col("sketches") >= least) & (100 * F.col("sketches") >= DIFFERING * F.col("n"))).select("template", "first_doc")
+    maybe = differing.groupBy("template").agg(F.count("*").alias("sketches"), F.min("first_doc").alias("first_doc")).where(F.col("sketches") >= least)
+    rows = differing.select("template", "sketch").join(maybe.select("template", "first_doc"), "template")
+    apart = rows.mapInArrow(_apart, "template long, first_doc long, sketch long, enough boolean").groupBy("template")
+    counted = apart.agg(F.min("first_doc").alias("first_doc"), F.bool_or("enough").alias("enough"), F.array_sort(F.collect_set("sketch")).alias("sketches"))
+    return counted.where(F.col("enough") | (_how_many_differ(F.col("sketches")) >= least)).select("template", "first_doc")
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:

@@ -226,6 +226,23 @@ def test_line_dedup(spark):
     assert got[200].text is None and got[201].text == ""
 
 
+def test_lines_recur_beside_a_large_group_of_copies(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    own = {k: " ".join(word() for _ in range(30)) + "." for k in range(40)}
+    line = "Read our other stories in the archive today"
+    copied = [word() for _ in range(60)]
+    # Exact copies, and near copies that differ in two words of sixty.
+    near = [copied[: 3 * (k % 20)] + [word()] + copied[3 * (k % 20) + 1 : -1] + [word()] for k in range(300)]
+    rows = [(k, f"{own[k]}\n{line}") for k in range(40)] + [(1000 + k, f"{' '.join(copied)}\n{line}") for k in range(300)]
+    rows += [(2000 + k, f"{' '.join(n)}\n{line}\nThis one stands only in the near copies of it") for k, n in enumerate(near)]
+    got = {x.doc_id: x for x in line_dedup.drop_recurring(_table(spark, rows)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[k].text == own[k] for k in range(1, 40))
+    assert all(line not in got[1000 + k].text for k in range(300))
+    assert all(got[2000 + k].text.endswith("near copies of it") for k in range(300))
+
+
 def test_classifier_held_out(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice(["th", "er", "on", "an", "re"]) for _ in range(r.randint(1, 4)))
