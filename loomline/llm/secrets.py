@@ -15,11 +15,18 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Labelled findings made for training: a bounded set.
 FINDINGS, SEED, TREES, DEPTH = 3000, 7, 20, 8
 AROUND = 3
-#: The last long run of key characters of a word, after a colon or an equals sign if there is one.
-RUN = r"(?:[:=][\"']*)?([A-Za-z0-9+/_.~-]{7,}[A-Za-z0-9+/_-]={0,2})[^A-Za-z0-9+/_=~-]*$"
+#: A long run of key characters, the ends of runs, and what parts the fields of a word (of JSON, CSV, query and connection strings).
+KEY = "A-Za-z0-9+/_.~-"
+RUN = f"[{KEY}]{{7,}}[A-Za-z0-9+/_-]"
+ENDS = f"(?<=[{KEY}])(?=[^{KEY}])|(?<=[^{KEY}])(?=[{KEY}])"
+FIELDS = "[,;&{}?|()<>]"
+#: Runs and marks before a run, in its field, that may hold its name.
+NAME_PARTS = 6
 KEYWORDS = r"(?i)(secret|token|passw|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 BENIGN = r"(?i)\b(commit|sha1?|sha256|md5|checksum|digest|hash|uuid|guid|revision|version|etag|isbn|order|invoice|ticket|build|example|sample|file|path|page|id)\b"
 #: Frequent English words and letter groups, longest first, as a dictionary of syllables.
@@ -34,26 +41,46 @@ _FEATURES = ("length", "letter_digit", "case_turns", "digit_share", "upper_share
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word, candidate, before, after) of each candidate in ``docs(doc_id, text)``.
 
-    ``word`` is the place of the white-space separated word that holds it (from 0).
+    ``word`` is the place of the white-space separated word that holds it (from 0); a
+    word has as many candidates as it has runs that qualify, each under the name
+    before it in its own field.
     """
-    maybe = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(r"[0-9]|(?i)secret|token|passw|pwd|api.?key"))
+    maybe = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike("[0-9]|" + KEYWORDS))
     w = maybe.select("doc_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
-    # Words around are cut out only for the few candidates.
+    assigned = KEYWORDS + r"[\w-]*[\"']?\s*[:=]"
+    # Words around are cut out only for the few words that may hold a candidate.
     near = F.filter(
         F.transform(
             "w",
             lambda x, i: F.when(
                 (F.length(x) >= 8) & x.rlike(RUN),
                 F.struct(
-                    i.cast("long").alias("word"), F.regexp_extract(x, RUN, 1).alias("candidate"), x.alias("whole"),
+                    i.cast("long").alias("word"), x.alias("whole"),
                     F.array_join(F.slice("w", F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND))), " ").alias("before"),
                     F.array_join(F.slice("w", i + 2, F.lit(AROUND)), " ").alias("after"),
                 ),
             ),
         ),
-        lambda s: s.isNotNull() & ((s["candidate"].rlike("[0-9]") & s["candidate"].rlike("[A-Za-z]") & (F.length(s["candidate"]) >= 16)) | F.concat(s["before"], F.lit(" "), s["whole"]).rlike(KEYWORDS + r"[\w-]*[\"']?\s*[:=]")),
+        lambda s: s.isNotNull() & (((F.length(s["whole"]) >= 16) & s["whole"].rlike("[0-9]")) | F.concat(s["before"], F.lit(" "), s["whole"]).rlike(assigned)),
     )
-    return w.select("doc_id", F.explode(near).alias("s")).select("doc_id", "s.word", "s.candidate", F.concat_ws(" ", "s.before", F.regexp_extract("s.whole", r"^[^\"']*?[:=]", 0)).alias("before"), "s.after")
+
+    def runs(parts: Column) -> Column:
+        """(candidate, name) of each long run of a field."""
+
+        def one(x: Column, i: Column) -> Column:
+            mark = F.coalesce(F.get(parts, i + 1), F.lit(""))
+            # An equals sign is padding if no value follows it.
+            padding = F.when(i + 2 >= F.size(parts), F.regexp_extract(mark, "^={1,2}", 0)).otherwise(F.regexp_extract(mark, "^(={1,2})[^=\"']", 1))
+            name = F.array_join(F.slice(parts, F.greatest(i - NAME_PARTS, F.lit(0)) + 1, F.least(i, F.lit(NAME_PARTS))), "")
+            return F.when(x.rlike(RUN), F.struct(F.concat(F.regexp_extract(x, RUN, 0), padding).alias("candidate"), name.alias("name")))
+
+        return F.filter(F.transform(parts, one), lambda s: s.isNotNull())
+
+    words = w.select("doc_id", F.explode(near).alias("s")).select("doc_id", "s.*")
+    fields = words.select("doc_id", "word", "before", "after", F.explode(F.split("whole", FIELDS)).alias("field")).where(F.col("field").rlike(RUN))
+    found = fields.select("doc_id", "word", "before", "after", F.explode(let(F.split("field", ENDS), runs)).alias("s")).select("doc_id", "word", "s.candidate", F.concat_ws(" ", "before", "s.name").alias("before"), "after")
+    c = F.col("candidate")
+    return found.where((c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.length(c) >= 16)) | F.col("before").rlike(assigned))
 
 
 def features(found: DataFrame) -> DataFrame:

@@ -198,6 +198,21 @@ def test_secrets_held_out(spark):
     assert [r.candidate for r in found if r.is_secret] == ["035d50b74778df8409167469942b6500c432a2c9"]
 
 
+def test_secrets_of_one_word(spark):
+    r = random.Random(8)
+    take = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(k))
+    ghp, akia, value = "ghp_" + take(36), "AKIA" + take(16), take(20) + "9z" + take(18)
+    texts = [
+        (f'{{"token":"{ghp}","user":"bob"}}', {ghp}), (f"api_key={akia}&region=us", {akia}), (f"https://h/x?token={ghp}&v=2", {ghp}), (f"{akia},{value}", {akia, value}),
+        (f"say secret={value}== now", {value + "=="}), ("private_key=correcthorsebattery", {"correcthorsebattery"}), ("credential: correcthorse", {"correcthorse"}), ("nothing to see here", set()),
+    ]
+    found = defaultdict(set)
+    for x in secrets.scan(_table(spark, [(k, t) for k, (t, _) in enumerate(texts)])).collect():
+        found[x.doc_id].add(x.candidate)
+        assert x.word == (1 if x.doc_id in (4, 6) else 0) and (x.is_secret or x.doc_id > 4)
+    assert {k: found[k] for k in range(len(texts))} == {k: want for k, (_, want) in enumerate(texts)}
+
+
 PAGE = """<html><body class="has-sidebar"><header><a href=x>Site</a></header><div id="cookie-notice">We use cookies</div><div class="layout">
 <aside>side</aside><main><article class="post post-{k}"><h1>T{k} &amp; co</h1><p>Hello <b>w</b>orld&nbsp;x<p>Second<br/>line &lt;b&gt;
 <script>var a = "</p>";</script></p><ul><li>one<li>two</ul><div class="ad-slot">BUY</div><form><input>q</form>
