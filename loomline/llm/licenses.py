@@ -1,7 +1,8 @@
 """Licence recognition by sentences and ordered rules; built-in functions only.
 
-A text is split into sentences, which are normalised and looked up among known
-licence sentences; what is found is a sequence of sentence identifiers.  Rules, in
+A text is split into pieces at line and sentence ends, and runs of pieces are normalised
+and looked up among known licence sentences, the longest first, as sentences may be
+wrapped or hold marks that end others; what is found is a sequence of sentence identifiers.  Rules, in
 order of precedence, are sequences of identifiers; a rule that matches takes its
 identifiers out of the sequence, so that a weaker rule doesn't match them again.
 Both tables are fixed, hence literals of the plan: a document is judged in its own
@@ -16,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, let
 
 #: Names by which a sentence refers to a licence, in normal form.
 NAMES = {
@@ -63,6 +64,10 @@ SENTENCES = {
     "T_GPL_FREE": "this program is free software",
     "T_GPL_TERMS2": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "T_GPL_TERMS3": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "T_LIBRARY_FREE": "this library is free software",
+    "T_LGPL_TERMS21": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "T_LGPL_TERMS3": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "T_AGPL_TERMS3": "you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "T_MPL": "this source code form is subject to the terms of the mozilla public license v 2.0",
     "T_UNLICENSE": "this is free and unencumbered software released into the public domain",
 }
@@ -78,6 +83,11 @@ TEXT_RULES = (
     ("Apache-2.0", ("G_apache2", "T_APACHE_USE")),
     ("GPL-2.0-or-later", ("T_GPL_FREE", "T_GPL_TERMS2")),
     ("GPL-3.0-or-later", ("T_GPL_FREE", "T_GPL_TERMS3")),
+    ("LGPL-2.1-or-later", ("T_LIBRARY_FREE", "T_LGPL_TERMS21")),
+    ("LGPL-2.1-or-later", ("T_GPL_FREE", "T_LGPL_TERMS21")),
+    ("LGPL-3.0-or-later", ("T_LIBRARY_FREE", "T_LGPL_TERMS3")),
+    ("LGPL-3.0-or-later", ("T_GPL_FREE", "T_LGPL_TERMS3")),
+    ("AGPL-3.0-or-later", ("T_GPL_FREE", "T_AGPL_TERMS3")),
     ("MPL-2.0", ("T_MPL",)),
     ("Unlicense", ("T_UNLICENSE",)),
 )
@@ -98,6 +108,9 @@ def known() -> dict[str, str]:
             for subject, verb, the in product(_SUBJECTS, _VERBS, ("", "the ")):
                 out[subject + verb + the + name] = f"G_{k}"
             out[f"spdx-license-identifier {name}"] = f"G_{k}"
+        out[f"spdx-license-identifier {LICENCES[k].lower()}"] = f"G_{k}"
+    # The head of the official notice: 'Licensed under the Apache License, Version 2.0 (the "License")'.
+    out["licensed under the apache license version 2.0 the license"] = "G_apache2"
     return out | {v: k for k, v in SENTENCES.items()}
 
 
@@ -120,9 +133,42 @@ def identifiers(text: Column) -> Column:
     # Only sentences of the same length are compared.
     table = F.create_map(*(x for n, group in sorted(by_length.items()) for x in (F.lit(n), F.create_map(*(F.lit(y) for pair in group.items() for y in pair)))))
     none = F.array().cast("array<string>")
-    sentences = F.filter(F.split(text, SPLIT), lambda s: s.rlike(MARKER))
-    found = F.filter(F.transform(F.transform(sentences, normal), lambda s: F.try_element_at(F.try_element_at(table, F.length(s)), s)), lambda x: x.isNotNull())
-    return F.when(text.rlike(MARKER), found).otherwise(none)
+    starts, most = _starts(), _most()
+
+    def look_up(x: Column) -> Column:
+        return F.try_element_at(F.try_element_at(table, F.length(x)), x)
+
+    def of(pieces: Column) -> Column:
+        def longest(i: Column) -> Column:
+            """The identifier of the longest known sentence from piece i on, and how many pieces it takes."""
+            runs = F.transform(F.sequence(F.lit(1), F.least(F.size(pieces) - i, F.lit(most))), lambda k: F.struct(k.alias("n"), look_up(F.array_join(F.slice(pieces, i + 1, k), " ")).alias("id")))
+            return F.element_at(F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("id"))), F.filter(runs, lambda r: r["id"].isNotNull())), -1)
+
+        begins = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.array_join(F.slice(pieces, i + 1, 2), " ").rlike(starts))
+        found = F.filter(F.transform(begins, lambda i: F.struct(i.alias("at"), longest(i).alias("hit"))), lambda x: x["hit"]["n"] > 0)
+        # What lies inside a sentence that was found isn't found again.
+        start = F.struct(F.lit(0).alias("next"), none.alias("ids"))
+        ids = F.aggregate(
+            found,
+            start,
+            lambda acc, x: F.when(x["at"] >= acc["next"], F.struct((x["at"] + x["hit"]["n"]).alias("next"), F.array_append(acc["ids"], x["hit"]["id"]).alias("ids"))).otherwise(acc),
+            lambda acc: acc["ids"],
+        )
+        return F.when(F.size(pieces) > 0, ids).otherwise(none)
+
+    pieces = F.filter(F.transform(F.split(text, SPLIT), normal), lambda x: x != "")
+    return F.when(text.rlike(MARKER), let(pieces, of)).otherwise(none)
+
+
+def _starts() -> str:
+    """A pattern of the first word of known sentences, and of the first two where there are two."""
+    first = {tuple(s.split(" ")[:2]) for s in known()}
+    return "^(?:" + "|".join(re.escape(" ".join(x)) for x in sorted(first)) + ")(?: |$)"
+
+
+def _most() -> int:
+    """Words, and so pieces at most, of the longest known sentence."""
+    return max(s.count(" ") for s in known()) + 1
 
 
 def licences(sequence: Column) -> Column:
@@ -158,7 +204,13 @@ def scan(docs: DataFrame) -> DataFrame:
 def python_scan(text: str | None) -> tuple[int, str, str]:
     """``scan`` of one text, plainly; the tests hold the query against it."""
     table = known()
-    ids = [table[s] for s in (python_normal(x) for x in re.split(SPLIT, text or "", flags=re.ASCII)) if s in table]
+    pieces = [n for n in (python_normal(x) for x in re.split(SPLIT, text or "", flags=re.ASCII)) if n]
+    ids, at, most = [], 0, _most()
+    while at < len(pieces):
+        n = max((k for k in range(1, most + 1) if at + k <= len(pieces) and " ".join(pieces[at : at + k]) in table), default=0)
+        if n:
+            ids.append(table[" ".join(pieces[at : at + n])])
+        at += n or 1
     rest, found = list(ids), set()
     for name, rule in RULES:
         at = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,6 +191,26 @@ def test_licences(spark):
         assert re.search(licenses.MARKER, sentence)
 
 
+def test_licence_notices(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n"
+    mit = textwrap.fill('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', 76)
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    texts = {
+        "// SPDX-License-Identifier: MIT\n// Copyright 2020 A. Body\nint x;": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-only\nimport os": "GPL-2.0-only",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed": "MPL-2.0",
+        gpl.format(";", ";", 2): "GPL-2.0-or-later",
+        gpl.format(":", ",", 3): "GPL-3.0-or-later",
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n': "Apache-2.0",
+        f"MIT License\n\n{mit}\n\nThe above copyright notice": "MIT",
+        bsd: "BSD-2-Clause",
+        "This software is\nreleased under the MIT License\nMore text follows": "MIT",
+    }
+    rows = {r.doc_id: tuple(r)[1:] for r in licenses.scan(_table(spark, list(enumerate(texts)))).collect()}
+    assert rows == {i: licenses.python_scan(t) for i, t in enumerate(texts)}
+    assert [rows[i][2] for i in range(len(texts))] == list(texts.values())
+
+
 def test_secrets_held_out(spark):
     held = spark.createDataFrame(secrets.labelled_findings(800, seed=99), "candidate string, before string, after string, label int")
     rows = secrets.train(spark).transform(secrets.features(held)).select("label", "_label").collect()
