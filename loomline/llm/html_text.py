@@ -97,6 +97,8 @@ class Page:
             if name in VOID:
                 continue
             if name in RAW:
+                if name in ("svg", "math") and m[3].endswith("/"):
+                    continue  # self-closed: empty
                 end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue

@@ -248,6 +248,12 @@ def test_html(spark):
     assert [rows[k].text for k in (9, 10, 11, 12)] == ["", "", "just text", ""]
 
 
+def test_html_self_closed(spark):
+    page = "<html><body><article><p>Before it stands this.</p><svg width='1'/><p>After it stands that.</p><math/><p>And the end.</p><svg><text>no</text></svg></article></body></html>"
+    rows = html_text.main_text(spark.createDataFrame([(1, "https://a.example/1", page)], "page_id long, url string, html string")).collect()
+    assert [r.text for r in rows] == ["Before it stands this. After it stands that. And the end."]
+
+
 def test_line_dedup(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
