@@ -95,7 +95,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         rows = rows.withColumn("hash", F.when(F.col("size") > 0, F.xxhash64("near")))
         # Equal hashes are verified on the words.
         rows = rows.join(known, (F.col("hash") == F.col("k_hash")) & (F.col("size") == F.col("k_size")) & (F.col("near") == F.col("k_words")), "left")
-        span = F.when(F.col("item_id").isNotNull(), F.struct((F.col("first") + F.col("k")).alias("start"), "size", "item_id"))
+        span = F.when(F.col("k_hash").isNotNull(), F.struct((F.col("first") + F.col("k")).alias("start"), "size", "item_id"))
     else:
         span = F.lit(None).cast("struct<start:int,size:int,item_id:bigint>")
     return rows.groupBy("doc_id", "_text").agg(F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"), F.count_if(F.col("size") < 0).alias("copies"))
@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     found = hits(docs, items, window)
-    ids = F.array_sort(F.transform(F.array_distinct(F.transform("spans", lambda s: s["item_id"])), lambda i: i.cast("string")))
+    ids = F.array_sort(F.transform(F.array_compact(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))), lambda i: i.cast("string")))
     out = found.select(
         "doc_id", "n_words", hit_words(F.col("spans")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "_text", "copies",

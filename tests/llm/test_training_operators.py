@@ -99,6 +99,14 @@ def test_contamination(spark, docs):
     assert decontaminate.contamination(docs, table.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_hit(spark):
+    docs = _table(spark, [(1, "red green blue one"), (2, "nothing of it")])
+    items = spark.createDataFrame([(None, "red green blue")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[1].contaminated, rows[2].contaminated) == (3, 0, True, False)
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()] == [2]
+
+
 def test_quality_counts(docs):
     word, want = re.compile(r"[^\x20\x09-\x0D]+"), Counter()
     for i, t in _texts():
