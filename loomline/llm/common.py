@@ -69,6 +69,14 @@ def broadcast_if(df: DataFrame, rows: int, bytes_per_row: int, limit: int = BROA
     return F.broadcast(df) if small_enough(rows, bytes_per_row, limit) else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

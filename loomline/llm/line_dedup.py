@@ -1,11 +1,14 @@
 """Line dedup by a log-template tree.
 
-A line goes down a tree of fixed depth: token count, then its first two tokens, with
-tokens that hold digits generalised to ``<*>``.  At the leaf its template is the
-generalised line; for lines of moderate length there are also templates in which one
-quarter of the remaining tokens is generalised, so that lines that differ in one
-variable field still meet.  Sentences of at least ``LEAST_SENTENCE`` tokens inside a
-line have templates too (repeated passages often share a line with other text).
+A line goes down a tree of fixed depth: token count, then its two leading tokens, with
+tokens that hold digits generalised to ``<*>``.  At the leaf the other positions are
+dealt into at most ``BLOCKS`` blocks, and lines merge that agree in all but two of them
+(in all but one where there are fewer than three): positions in these are the
+template's fields.  At least 60 per cent of the positions, the leading ones among them,
+are thus constant, and lines of any length from three tokens on can have fields.
+Shorter lines have themselves as template, and so do long ones besides.  Sentences of
+at least ``LEAST_SENTENCE`` tokens are units too, as they stand, since repeated
+passages often share a line with other text.
 
 A template recurs if it stands in enough documents that differ, however many copies of
 them there are: documents are told apart by a sketch of sixteen minima (of the hashes
@@ -13,13 +16,17 @@ of their longer words outside the line or sentence), of which copies and near co
 share half or more.  So copies of one document don't make its lines recurrent, and are
 left to document dedup.  The first document with a recurring template keeps it;
 elsewhere the line, or the sentence, is dropped.
+
+Most leaves and sentences occur too rarely to matter.  A first pass counts them; those
+that occur often enough go to the executors as a bit set of bounded size (a bit that is
+set by chance only costs time), and only their units are looked at further.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,83 +35,160 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, small_enough
+from .common import BROADCAST_LIMIT, cut, free_name, lean, small_enough
 
-#: Tokens of a line or sentence to be looked at; documents that must differ, for short and other units.
-LEAST_LINE, LEAST_SENTENCE, SHORT, DOCS_SHORT, DOCS = 3, 8, 6, 20, 5
+#: Tokens of a sentence to be a unit of its own, of a short line, and of a long unit.
+LEAST_SENTENCE, SHORT, LONG = 8, 6, 50
+#: Documents that must differ, by the low bits of a template: usual, short and long units.
+DOCS, DOCS_SHORT, DOCS_LONG = 5, 20, 2
+NEEDS = (DOCS, DOCS_SHORT, DOCS_LONG)
 #: Minima of a sketch, of four bits each; documents that share ``SAME`` of them or more count as one.
 MINIMA, SAME = 16, 8
-#: Lines of so many tokens get templates with a generalised quarter.
-FIELD_LINES = range(8, 41)
-LEADING = 2
-_DIGITS = re.compile(r"\S*\d\S*?(?=[.!?]*(?:\s|$))")
-_SENTENCE = re.compile(r"(?<=[.!?]) +")
-_DIGIT = re.compile(r"\d")
+LEADING, BLOCKS = 2, 5
+#: Bits for each key of a bit set, and the most bits in all (64 MB), as a power of two.
+BITS_A_KEY, MOST_BITS = 32, 29
+#: Kinds of templates; a line with the pair p of its blocks generalised is of kind FIELDS + p.
+LINE, SENTENCE, LEAF, FIELDS = 1, 2, 3, 16
 
 
-#: Kinds of templates; a line of n tokens with its quarter q generalised is of kind FIELDS + 4 * n + q.
-LINE, SENTENCE, FIELDS = 1, 2, 16
+def _need(n: int) -> int:
+    return 1 if n < SHORT else 2 if n >= LONG else 0
 
 
-def _sign(kind: int, short: bool, text: str) -> int:
-    """A template's 63-bit number; odd if it needs more documents to recur."""
-    return (xxhash.xxh3_64_intdigest(text.encode(), kind) >> 2 << 1) | short
+def _sign(kind: int, need: int, text: str) -> int:
+    """A 63-bit number; its low two bits tell how many documents it needs to recur."""
+    return xxhash.xxh3_64_intdigest(text, kind) >> 3 << 2 | need
 
 
-def line_templates(line: str) -> list[int]:
-    return _line_templates(line.split())
+def _digits_in(text: str) -> bool:
+    return any(map(text.__contains__, "0123456789"))
 
 
-def _line_templates(tokens: list[str]) -> list[int]:
-    n = len(tokens)
-    if n < LEAST_LINE:
+def _generalised(tokens: list[str]) -> list[str]:
+    """Tokens that hold a digit become ``<*>``, with the marks that end them."""
+    return [f"<*>{t[len(t.rstrip('.!?')):]}" if _digits_in(t) else t for t in tokens]
+
+
+def _pairs(n: int) -> list[list[tuple[int, int]]]:
+    """The ranges of positions that each template of a line of ``n`` tokens generalises."""
+    rest = n - LEADING
+    if rest < 1:
         return []
-    out = [_sign(LINE, n < SHORT, " ".join(tokens))]
-    if n in FIELD_LINES:
-        for q in range(4):
-            a, b = (LEADING + (n - LEADING) * k // 4 for k in (q, q + 1))
-            out.append(_sign(FIELDS + 4 * n + q, False, " ".join([*tokens[:a], "<*>", *tokens[b:]])))
+    count = min(BLOCKS, rest)
+    blocks = [(LEADING + rest * k // count, LEADING + rest * (k + 1) // count) for k in range(count)]
+    return [list(p) for p in combinations(blocks, 2 if count > 2 else 1)]
+
+
+def line_templates(tokens: list[str]) -> list[int]:
+    """The templates of a line, given as its generalised tokens."""
+    n = len(tokens)
+    pairs, need = _pairs(n), _need(n)
+    out = [_sign(LINE, need, " ".join(tokens))] if not pairs or need == 2 else []
+    for p, ranges in enumerate(pairs):
+        own, at = [], 0
+        for a, b in ranges:
+            own += [*tokens[at:a], f"<{b - a}>"]
+            at = b
+        out.append(_sign(FIELDS + p, need & 1, " ".join([*own, *tokens[at:]])))
     return out
 
 
-def parse(text: str, words: set[str] | None = None) -> list[tuple[str, list[int], list[tuple[str, int | None]]]]:
-    """For each line: itself, its templates, and its sentences with theirs (none if too short).
+#: White space that isn't one space between words; texts without it are split as they stand.
+_UNEVEN = ("  ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
-    ``words``, if given, gets the text's tokens, generalised.
-    """
-    digits, out = _DIGIT.search(text) is not None, []
+
+def parse(text: str) -> list[tuple[str, str, int | None, list[tuple[str, int | None]]]]:
+    """For each line: itself, its generalised tokens joined by spaces, its leaf (None without tokens), and its sentences with their templates (None if too short)."""
+    digits, even, out = _digits_in(text), not any(map(text.__contains__, _UNEVEN)), []
     for line in text.split("\n"):
-        low = _DIGITS.sub("<*>", line) if digits and _DIGIT.search(line) else line
-        tokens = low.split()
-        if words is not None:
-            words.update(tokens)
-        sentences = same = _SENTENCE.split(line)
-        if low is not line and len(same := _SENTENCE.split(low)) != len(sentences):
-            same = sentences
-        # Eight tokens have fifteen characters at least.
-        signs = [_sign(SENTENCE, False, g.strip()) if len(g) > 14 and g.count(" ") >= LEAST_SENTENCE - 1 else None for g in same]
-        out.append((line, _line_templates(tokens), list(zip(sentences, signs, strict=True))))
+        low = line.strip() if even else " ".join(line.split())
+        if some := digits and _digits_in(low):
+            low = " ".join(_generalised(low.split(" ")))
+        leaf = None
+        if low:
+            n = low.count(" ") + 1
+            leaf = _sign(LEAF, _need(n), f"{n} {low if n <= LEADING else ' '.join(low.split(' ', LEADING)[:LEADING])}")
+        sentences = line.replace(". ", ".\0").replace("! ", "!\0").replace("? ", "?\0").split("\0") if line else []
+        signed = []
+        for s in sentences:
+            if s.count(" ") < LEAST_SENTENCE - 1:
+                signed.append((s, None))
+                continue
+            x = s.strip() if even else " ".join(s.split())
+            if some and _digits_in(x):
+                x = " ".join(_generalised(x.split(" ")))
+            n = x.count(" ") + 1
+            signed.append((s, _sign(SENTENCE, _need(n), x) if n >= LEAST_SENTENCE else None))
+        out.append((line, low, leaf, signed))
     return out
 
 
-def remaining(parsed: list, recurs) -> tuple[str, int]:
-    """The text without recurring lines and sentences, and how many lines lost something."""
-    kept, touched = [], 0
-    for line, templates, sentences in parsed:
-        if any(map(recurs, templates)):
-            touched += 1
+def keys_of(parsed: list) -> list[int]:
+    """Leaves and sentences, in order."""
+    return [k for _, _, leaf, sentences in parsed for k in (leaf, *(t for _, t in sentences)) if k is not None]
+
+
+class BitSet:
+    """Which keys may be among those that were put in."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, len(words) * 64 - 1
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> BitSet:
+        """Of ``keys(key)``, folded on the executors: the driver gets at most 2^MOST_BITS bits."""
+        bits = max(10, min(MOST_BITS, (BITS_A_KEY * keys.count()).bit_length()))
+        words = np.zeros(1 << (bits - 6), np.int64)
+        bit = F.shiftright("key", 2).bitwiseAND(F.lit((1 << bits) - 1))
+        rows = keys.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        found = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        words[found["word"].to_numpy()] = found["bits"].to_numpy()
+        return cls(words.view(np.uint64))
+
+    def has(self, keys: list[int]) -> np.ndarray:
+        at = (np.asarray(keys, np.int64) >> 2) & self.mask
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def frequent(parsed: list, known: BitSet) -> list[tuple[int, int | None, list[int]]]:
+    """(line, sentence or None, templates) of the units that may recur."""
+    places, keys = [], []
+    for k, (_, _, leaf, sentences) in enumerate(parsed):
+        if leaf is not None:
+            places.append((k, None))
+            keys.append(leaf)
+        for j, (_, t) in enumerate(sentences):
+            if t is not None:
+                places.append((k, j))
+                keys.append(t)
+    if not keys:
+        return []
+    return [(k, j, line_templates(parsed[k][1].split(" ")) if j is None else [keys[i]]) for i in np.flatnonzero(known.has(keys)).tolist() for k, j in (places[i],)]
+
+
+def remaining(parsed: list, units: list, gone: set[int]) -> tuple[str, int]:
+    """The text without units of templates that are ``gone``, and how many lines lost something."""
+    lines: set[int] = set()
+    inside: dict[int, set[int]] = {}
+    for k, j, templates in units:
+        if not gone.isdisjoint(templates):
+            if j is None:
+                lines.add(k)
+            else:
+                inside.setdefault(k, set()).add(j)
+    kept = []
+    for k, (line, _, _, sentences) in enumerate(parsed):
+        if k in lines:
             continue
-        gone = [t is not None and recurs(t) for _, t in sentences]
-        if not any(gone):
+        if k not in inside:
             kept.append(line)
             continue
-        touched += 1
-        first, last = gone.index(True), len(gone) - 1 - gone[::-1].index(True)
+        out = inside[k]
+        first, last = min(out), max(out)
         # Short sentences between two that are dropped belong to the same passage.
-        rest = [s for k, (s, t) in enumerate(sentences) if not (gone[k] or (t is None and first < k < last))]
-        if rest:
+        if rest := [s for j, (s, t) in enumerate(sentences) if not (j in out or (t is None and first < j < last))]:
             kept.append(" ".join(rest))
-    return "\n".join(kept), touched
+    return "\n".join(kept), len(lines | inside.keys())
 
 
 def _bins(words: set[str]) -> list[list[tuple[int, str]]]:
@@ -118,8 +202,8 @@ def _bins(words: set[str]) -> list[list[tuple[int, str]]]:
     return bins
 
 
-def _sketch(bins: list[list[tuple[int, str]]], own: str) -> int:
-    """Four bits of the smallest hash of each bin, without the words that ``own`` holds; an empty bin takes the next one's, and 0 stands for no word at all."""
+def _sketch(bins: list[list[tuple[int, str]]], own: set[str]) -> int:
+    """Four bits of the smallest hash of each bin, without the words of ``own``; an empty bin takes the next one's, and 0 stands for no word at all."""
     low = [next((h for h, w in b if w not in own), None) for b in bins]
     if None in low:
         filled = [k for k, h in enumerate(low) if h is not None]
@@ -139,39 +223,46 @@ def _differ(a: int, b: int) -> bool:
     return ((x | x >> 1) & 0x1111111111111111).bit_count() > MINIMA - SAME
 
 
-def _unit_rows(text: str) -> dict[int, int]:
+def _unit_rows(text: str, known: BitSet) -> dict[int, int]:
     """Template -> sketch of the document without the line or sentence that the template is of."""
+    parsed, out = parse(text), {}
+    units = frequent(parsed, known)
+    if not units:
+        return out
     words: set[str] = set()
-    parsed, out = parse(text, words), {}
+    for _, low, _, _ in parsed:
+        words.update(low.split(" "))
     bins = _bins(words)
-    for line, templates, sentences in parsed:
-        if templates:
-            out.update(dict.fromkeys(templates, _sketch(bins, line)))
-        for sentence, t in sentences:
-            if t is not None:
-                out[t] = _sketch(bins, sentence)
+    for k, j, templates in units:
+        _, low, _, sentences = parsed[k]
+        out.update(dict.fromkeys(templates, _sketch(bins, set(low.split(" ") if j is None else _generalised(sentences[j][0].split())))))
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        templates: list[int] = []
-        sketches: list[int] = []
-        ids: list[int | None] = []
-        for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-            text = t.as_py()
-            if not text:
-                continue
-            own = _unit_rows(text)
-            templates += own
-            sketches += own.values()
-            ids += [i.as_py()] * len(own)
-        if templates:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (templates, sketches, ids)], names=["template", "sketch", "doc_id"])
+        # A document counts a key once.
+        found = [k for t in b.column("text").to_pylist() if t for k in set(keys_of(parse(t)))]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["key"])
 
 
-def _least(template: int) -> int:
-    return DOCS_SHORT if template & 1 else DOCS
+def _units(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            templates: list[int] = []
+            sketches: list[int] = []
+            ids: list[int | None] = []
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text and (own := _unit_rows(text, known)):
+                    templates += own
+                    sketches += own.values()
+                    ids += [i] * len(own)
+            if templates:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (templates, sketches, ids)], names=["template", "sketch", "doc_id"])
+
+    return lean(run)
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +273,9 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, s, first in zip(*(b.column(c).to_pylist() for c in ("template", "sketch", "first_doc")), strict=True):
             firsts[t] = first
             own = chosen.setdefault(t, [])
-            if len(own) < _least(t) and all(_differ(s, x) for x in own):
+            if len(own) < NEEDS[t & 3] and all(_differ(s, x) for x in own):
                 own.append(s)
-    rows = [(t, firsts[t], s, enough) for t, own in chosen.items() for enough in (len(own) >= _least(t),) for s in (own[:1] if enough else own)]
+    rows = [(t, firsts[t], s, enough) for t, own in chosen.items() for enough in (len(own) >= NEEDS[t & 3],) for s in (own[:1] if enough else own)]
     for at in range(0, len(rows), 65536):
         columns = zip(*rows[at : at + 65536], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["template", "first_doc", "sketch", "enough"])
@@ -202,16 +293,28 @@ def _how_many_differ(sketches: Column) -> Column:
     return F.size(F.aggregate(sketches, none, lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.array_append(acc, x))))
 
 
-def recurring(docs: DataFrame) -> DataFrame:
+def _least(key: str) -> Column:
+    """How many documents that differ a key or template needs."""
+    return F.element_at(F.array(*map(F.lit, NEEDS)), F.col(key).bitwiseAND(F.lit(3)).cast("int") + 1)
+
+
+def _known(docs: DataFrame):
+    """The keys that stand in enough documents, copies included, as a broadcast bit set."""
+    keys = docs.select("text").mapInArrow(lean(_keys), "key long")
+    often = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _least("key")).select("key"))
+    return docs.sparkSession.sparkContext.broadcast(BitSet.of(often))
+
+
+def recurring(docs: DataFrame, known=None) -> DataFrame:
     """(template, first_doc) of each recurring template of ``docs(doc_id, text)``.
 
     Only templates with enough distinct sketches are looked at further.  The rows of
     one, dealt by template and sketch, are first thinned where they lie, so that none
     gathers more than a few rows of each partition.
     """
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units, "template long, sketch long, doc_id long")
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units(known or _known(docs)), "template long, sketch long, doc_id long")
     differing = units.groupBy("template", "sketch").agg(F.min("doc_id").alias("first_doc"))
-    least = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, F.lit(DOCS_SHORT)).otherwise(F.lit(DOCS))
+    least = _least("template")
     maybe = differing.groupBy("template").agg(F.count("*").alias("sketches"), F.min("first_doc").alias("first_doc")).where(F.col("sketches") >= least)
     rows = differing.select("template", "sketch").join(maybe.select("template", "first_doc"), "template")
     apart = rows.mapInArrow(_apart, "template long, first_doc long, sketch long, enough boolean").groupBy("template")
@@ -219,57 +322,65 @@ def recurring(docs: DataFrame) -> DataFrame:
     return counted.where(F.col("enough") | (_how_many_differ(F.col("sketches")) >= least)).select("template", "first_doc")
 
 
-def drop_recurring(docs: DataFrame) -> DataFrame:
+def drop_recurring(docs: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``docs`` with all its columns, ``text`` without recurring lines, and ``n_lines`` and ``n_dropped`` (lines that lost something).
 
     Null and empty texts stay as they are; a text without recurring lines is not
-    changed; a repeated row is a further copy; rows with a null doc_id never keep a
-    recurring line; an empty table gives no rows.  Columns named n_lines or n_dropped
-    are replaced.
+    changed, however long; a repeated row is a further copy; of equal lines the one in
+    the smallest doc_id stays (in all rows of that doc_id); rows with a null doc_id
+    never keep a recurring line; an empty table gives no rows.  Columns named n_lines
+    or n_dropped are replaced.  Recurring templates go to the executors if they take
+    ``limit`` bytes at most, else each document gets its own by joins: the rows are the
+    same.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    found = cut(recurring(docs))
+    known = _known(docs)
+    found = cut(recurring(docs, known))
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_lines long", "n_dropped long"])
     n = found.count()
-    if small_enough(n, 16):
-        table = found.toArrow().combine_chunks() if n else None
-        templates = table["template"].to_numpy() if n else np.empty(0, np.int64)
+    if small_enough(n, 17, limit):
+        table = found.toArrow()
+        templates, firsts = table["template"].to_numpy(), pc.fill_null(table["first_doc"], 0).to_numpy()
+        nobody = pc.is_null(table["first_doc"]).to_numpy()
         order = np.argsort(templates)
-        firsts = (table["first_doc"].to_numpy() if n else templates)[order]
-        known = docs.sparkSession.sparkContext.broadcast((templates[order], firsts))
+        sent = docs.sparkSession.sparkContext.broadcast((templates[order], firsts[order], nobody[order]))
 
-        def given(batch: pa.RecordBatch, k: int, ids, own: list[int]) -> set[int]:
-            templates, firsts = known.value
+        def given(batch: pa.RecordBatch, k: int, doc: int | None, own: list[int]) -> set[int]:
+            templates, firsts, nobody = sent.value
             if not len(templates) or not own:
                 return set()
+            own = np.asarray(own, np.int64)
             at = np.minimum(np.searchsorted(templates, own), len(templates) - 1)
-            hit = (templates[at] == own) & (firsts[at] != (ids[k].as_py() if ids[k].is_valid else -(2**63)))
-            return set(np.asarray(own)[hit].tolist())
+            hit = templates[at] == own
+            if doc is not None:
+                hit &= nobody[at] | (firsts[at] != doc)
+            return set(own[hit].tolist())
 
         rows = docs
     else:
-        # Too many to send to every executor: each document gets its own list by joins.
-        units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units, "template long, sketch long, doc_id long")
-        lists = units.join(found, "template").where("not doc_id <=> first_doc").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("template").alias("_drop"))
-        rows = docs.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+        ident, drop = free_name(docs, "_id"), free_name(docs, "_drop")
+        units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units(known), "template long, sketch long, doc_id long")
+        # A document's list is as long as it has recurring templates.
+        lists = units.join(found, "template").where("doc_id is null or not doc_id <=> first_doc").groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set("template").alias(drop))
+        rows = docs.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)), "left").drop(ident)
 
-        def given(batch: pa.RecordBatch, k: int, ids, own: list[int]) -> set[int]:
-            return set(batch.column("_drop")[k].as_py() or ()) & set(own)
+        def given(batch: pa.RecordBatch, k: int, doc: int | None, own: list[int]) -> set[int]:
+            return set(batch.column(drop)[k].as_py() or ()) & set(own)
 
     @lean
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = pc.cast(b.column("doc_id"), pa.int64())
+            ids = pc.cast(b.column("doc_id"), pa.int64()).to_pylist()
             texts, lines, dropped = [], [], []
-            for k, t in enumerate(b.column("text")):
-                text, touched = t.as_py(), 0
+            for k, text in enumerate(b.column("text").to_pylist()):
+                touched = 0
                 lines.append(text.count("\n") + 1 if text else 0)
                 if text:
                     parsed = parse(text)
-                    own = [x for _, line, inside in parsed for x in (*line, *(s for _, s in inside if s is not None))]
-                    if drop := given(b, k, ids, own):
-                        text, touched = remaining(parsed, drop.__contains__)
+                    units = frequent(parsed, known.value)
+                    if gone := given(b, k, ids[k], [t for _, _, own in units for t in own]):
+                        text, touched = remaining(parsed, units, gone)
                 texts.append(text)
                 dropped.append(touched)
             columns = [pa.array(texts, b.schema.field(c).type) if c == "text" else b.column(c) for c in names]
