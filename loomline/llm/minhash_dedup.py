@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut, lean
+from .common import BROADCAST_LIMIT, broadcast_if, cut, free_name, lean
 from .components import connected_components
 
 HASHES, BITS, MISS = 128, 2, 1e-6
@@ -167,15 +167,15 @@ def matches(a: Column, b: Column) -> Column:
     return total
 
 
-def least_matches(threshold: float) -> int:
-    """The fewest equal groups that a pair at the threshold shows, less six standard deviations.
+def least_similarity(threshold: float) -> float:
+    """The least corrected estimate that a pair at the threshold shows, less six standard deviations.
 
     Unequal minima agree in their low bits with chance 2^-BITS, so the expected
-    share is C + (1 - C) * similarity.
+    share of equal groups is C + (1 - C) * similarity.
     """
     chance = 2.0**-BITS
     p = chance + (1 - chance) * threshold
-    return int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
+    return threshold - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - chance)
 
 
 def corrected_similarity(equal_groups: Column) -> Column:
@@ -184,14 +184,16 @@ def corrected_similarity(equal_groups: Column) -> Column:
     return (equal_groups / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text, ...)``.
 
     Shingles are ``width`` words; two texts link at 100 * |A ∩ B| >= percent * |A ∪ B|.
     A null text, or one without words, has no shingles and links with nothing;
     repeated rows are exact copies; a doc_id with several texts belongs to the
-    component of each; a null doc_id keeps its row, with no component, kept.
-    Other columns are ignored.  An empty table gives no rows.
+    component of each; a null doc_id keeps its row, with no component, kept.  Of ties
+    the smallest doc_id counts.  Texts are read whole, however long; other columns are
+    ignored; an empty table gives no rows.  Ids beyond ``limit`` bytes are joined to the
+    texts by a shuffle instead of a broadcast.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketch = cut(docs.mapInArrow(_sketcher(width, percent / 100), "doc_id long, n_shingles long, text_key string, sig array<long>, bands array<long>"))
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
         .select(F.col("doc_id").alias("doc"), "text_key", F.col("n_shingles").alias("n"), "sig", "bands")
         .dropDuplicates(["doc", "text_key"])
     )
-    return _label(sketch, classes, link(reps, docs, percent, width))
+    return _label(sketch, classes, link(reps, docs, percent, width, limit))
 
 
 def _label(sketch: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
@@ -217,21 +219,27 @@ def _label(sketch: DataFrame, classes: DataFrame, component: DataFrame) -> DataF
     )
 
 
-def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but the smallest doc_id of each component.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Texts without words all stay.  Where doc_ids are null or repeat, rows get numbers of
+    their own first (kept with the rows), so that each is judged by its own text and
+    one of each component stays, the one with the smallest number.
     """
-    result = cut(near_duplicates(docs, percent, width))
-    gone = result.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    n, ids, every = result.agg(F.count_if(~F.col("kept")), F.countDistinct("doc_id"), F.count("doc_id")).first()
-    left = docs.join(broadcast_if(gone, n, 16), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if ids == every:
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-
-
-def link(reps: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    rows, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    ident = F.col("doc_id").cast("long")
+    name = None
+    if rows != ids or ids != distinct:
+        name = free_name(docs, "_row")
+        docs, ident = cut(docs.withColumn(name, F.monotonically_increasing_id())), F.col(name)
+    result = cut(near_duplicates(docs.select(ident.alias("doc_id"), "text"), percent, width, limit))
+    gone = free_name(docs, "_gone")
+    copies = result.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(broadcast_if(copies, copies.count(), 16, limit), ident == F.col(gone), "left_anti")
+    return left.drop(name) if name else left
+
+
+def link(reps: DataFrame, docs: DataFrame, percent: int, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Components of the distinct texts ``reps(doc, text_key, n, sig, bands)``.
 
     The hub of a bucket is the member that shares most with others over all bands: of
@@ -247,15 +255,15 @@ def link(reps: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFram
     hubs = shared.groupBy("band").agg(F.max_by("doc", F.struct("pop", -F.col("doc"))).alias("hub"))
     members = cut(shared.join(hubs, "band").where("doc <> hub").select("doc", "hub").distinct())
     side = reps.select("doc", "n", "sig")
-    found = confirm(candidates(members.toDF("a", "b"), side, percent), docs, percent, width)
+    found = confirm(candidates(members.toDF("a", "b"), side, percent), docs, percent, width, limit)
     near = cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")))
     hop = near.select("a", F.least("a", "b").alias("b"))
     label = hop.join(hop.toDF("b", "c"), "b", "left").select(F.col("a").alias("doc"), F.least("b", "c").alias("label"))
-    more = confirm(candidates(remainder(members, label, docs, percent, width), side, percent), docs, percent, width)
+    more = confirm(candidates(remainder(members, label, docs, percent, width, limit), side, percent), docs, percent, width, limit)
     return connected_components(found.unionByName(more))
 
 
-def remainder(members: DataFrame, label: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def remainder(members: DataFrame, label: DataFrame, docs: DataFrame, percent: int, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Pairs (a, b) of members of a hub, under different labels, that may link; none that links is left out.
 
     A member x is described by D(x), its symmetric difference with the hub, in a common
@@ -269,7 +277,7 @@ def remainder(members: DataFrame, label: DataFrame, docs: DataFrame, percent: in
     labelled = members.join(label, "doc", "left").select("doc", "hub", F.coalesce("label", "doc").alias("label"))
     mixed = labelled.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub")
     left = cut(labelled.join(mixed, "hub"))
-    sets = shingles(left.select(F.col("doc").alias("doc_id")).unionByName(left.select(F.col("hub").alias("doc_id"))), docs, width)
+    sets = shingles(left.select(F.col("doc").alias("doc_id")).unionByName(left.select(F.col("hub").alias("doc_id"))), docs, width, limit)
     pair = left.join(sets.toDF("doc", "own"), "doc").join(sets.toDF("hub", "base"), "hub")
     differs = pair.select(
         "doc", "hub", "label", F.size("own").alias("n"), F.concat(F.array_except("own", "base"), F.array_except("base", "own")).alias("d")
@@ -296,23 +304,23 @@ def candidates(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
         pairs.join(a, "a")
         .join(b, "b")
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .where(matches(F.col("siga"), F.col("sigb")) >= least_matches(percent / 100))
+        .where(corrected_similarity(matches(F.col("siga"), F.col("sigb"))) >= least_similarity(percent / 100) - 1e-9)
         .select("a", "b", "na", "nb")
     )
 
 
-def shingles(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def shingles(ids: DataFrame, docs: DataFrame, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc, shingles) of the documents with ``ids(doc_id)``; sets are made anew from the texts, and kept once."""
     ids = cut(ids.distinct())
     # Texts are shuffled only where the ids are too many to be sent to them.
-    made = docs.join(broadcast_if(ids, ids.count(), 16), "doc_id", "left_semi").mapInArrow(_setter(width), "doc long, shingles array<long>")
+    made = docs.join(broadcast_if(ids, ids.count(), 16, limit), "doc_id", "left_semi").mapInArrow(_setter(width), "doc long, shingles array<long>")
     return cut(made)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Those of ``pairs(a, b, na, nb)`` that link on their full shingle sets."""
     pairs = cut(pairs)
-    sets = shingles(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, width)
+    sets = shingles(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, width, limit)
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free_name, let
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -97,24 +97,49 @@ def clean(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
 
 
+def cleaned(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality`` keeps, their ``text`` without the lines that fail."""
+    ok = free_name(docs, "_kept")
+    judged = docs.withColumn(ok, _verdict(most_lost))
+    return judged.where(ok).withColumn("text", clean(F.col("text"))).select(*docs.columns)
+
+
 def word_chars(w: Column) -> Column:
     return F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
 
 
+def base_fails(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
+def keeps(clean: Column, every: Column, most_lost: int) -> Column:
+    return 100 * clean >= (100 - most_lost) * every
+
+
+def clean_chars(text: Column) -> Column:
+    """Characters in words of the lines that pass."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))
+    return F.aggregate(
+        F.transform(lines, lambda x: F.when(line_fails(x), F.lit(0)).otherwise(F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")))),
+        F.lit(0).cast("long"),
+        lambda a, n: a + n,
+    )
+
+
+def _verdict(most_lost: int) -> Column:
+    counts = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), word_chars(w).alias("c"), repeated_words(w).alias("r")))
+    return let(counts, lambda x: ~base_fails(x["n"], x["r"]) & keeps(clean_chars(F.col("text")), x["c"], most_lost))
+
+
 def quality(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
     """Counts and verdict for each row of ``docs(doc_id, text)``.
 
     base_failed: under ten words, or over a fifth of them in repeated 5-word windows.
     kept: the base holds and lines that pass have at least ``100 - most_lost`` per cent
     of the characters in words; ``clean_chars`` counts those.  Null and empty texts
-    have no words and fail; repeated rows are each judged; other columns are ignored.
+    have no words and fail; texts are judged whole, however long; repeated rows are each
+    judged; other columns are ignored; an empty table gives no rows.
     """
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD))
-    good = F.aggregate(
-        F.transform(lines, lambda x: F.when(line_fails(x), F.lit(0)).otherwise(F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")))),
-        F.lit(0).cast("long"),
-        lambda a, n: a + n,
-    )
     counted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         let(
@@ -123,8 +148,8 @@ def quality(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
         ).alias("x"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        good.alias("clean_chars"),
+        clean_chars(F.col("text")).alias("clean_chars"),
     )
     out = counted.select("doc_id", "x.n_words", "x.word_chars", "n_symbols", "n_dup_lines", "x.n_repeat_words", "clean_chars")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("clean_chars") >= (100 - most_lost) * F.col("word_chars")))
+    out = out.withColumn("base_failed", base_fails(F.col("n_words"), F.col("n_repeat_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & keeps(F.col("clean_chars"), F.col("word_chars"), most_lost))
