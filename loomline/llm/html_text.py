@@ -10,6 +10,7 @@ occur.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter, defaultdict
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut, lean
+from .common import BROADCAST_LIMIT, broadcast_if, cut, lean
 
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,7 +31,11 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"br", "body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
 CONTAINERS = frozenset("article body div main section td".split())
 #: Furniture by element name, role, and word of a class or id.
-DROP_TAGS = frozenset("nav footer aside form button select option dialog menu search head".split())
+DROP_TAGS = frozenset("nav footer aside button select option dialog menu search head".split())
+#: Elements of an article, by which a form is told that wraps a page from one to be filled in.
+PROSE = frozenset("article main p h1".split())
+#: A form that holds so much of a page's text, and elements of an article, wraps the page.
+WRAPS = 0.5
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations skip".split()
@@ -39,7 +44,9 @@ ABOUT_LAYOUT = frozenset("with has no without".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^<>]*>|<\?[^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+|[^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
-_DEEPEST = 60
+#: Levels of a path that are spelled out; above these stands a digest, so that paths stay short and differ.
+_SPELLED = 60
+_DEPTH = re.compile(r"(\d+)~")
 #: Least share of a page's running text for a vote; a path below it everywhere can't be the article's.
 LEAST_SHARE = 0.25
 
@@ -53,9 +60,11 @@ class Page:
 
     def __init__(self, source: str | None):
         self.parent, self.path, self.tag, self.dropped = [-1], [""], [""], [False]
-        self.block, self.open = [0], Counter()
+        self.block, self.open, self.forms = [0], Counter(), []
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source or "")
+        if self.forms:
+            self._drop_forms()
 
     def _parse(self, source: str) -> None:
         stack, text, links, link_depth, at = [0], [], 0, 0, 0
@@ -120,15 +129,38 @@ class Page:
         name = tag
         if kinds := given.get("class", "").split():
             name += "." + ".".join(sorted({re.sub(r"\d+", "N", k.lower()) for k in kinds}))
-        deep = self.path[parent].count(">") >= _DEEPEST
+        above = self.path[parent]
+        if tag not in BLOCK:
+            path = above
+        else:
+            if above.count(">") >= _SPELLED:
+                above = f"{depth(above)}~{hashlib.md5(above.encode('utf-8', 'replace')).hexdigest()}"
+            path = f"{above}>{name}"
         self.parent.append(parent)
-        self.path.append(self.path[parent] if deep or tag not in BLOCK else f"{self.path[parent]}>{name}")
+        self.path.append(path)
         self.tag.append(tag)
         self.open[tag] += 1
         self.block.append(len(self.parent) - 1 if tag in BLOCK else self.block[parent])
         self.dropped.append(self.dropped[parent] or self._furniture(parent, tag, given))
+        if tag == "form" and not self.dropped[-1]:
+            self.forms.append(len(self.parent) - 1)
         return len(self.parent) - 1
 
+    def _drop_forms(self) -> None:
+        """Forms are furniture, but for one that wraps the article: it holds most of the text, and elements of an article."""
+        size, prose = [0] * len(self.parent), [0] * len(self.parent)
+        for k, text, _ in self.blocks:
+            if not self.dropped[k]:
+                size[k] += len(text)
+        for k in range(len(self.parent) - 1, 0, -1):
+            prose[k] += self.tag[k] in PROSE and size[k] > 0
+            size[self.parent[k]] += size[k]
+            prose[self.parent[k]] += prose[k]
+        for k in self.forms:
+            self.dropped[k] = not (prose[k] and size[k] >= WRAPS * size[0])
+        for k in range(1, len(self.parent)):
+            self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]]
+
     def _furniture(self, parent: int, tag: str, given: dict[str, str]) -> bool:
         if tag in DROP_TAGS or given.get("role", "").lower() in DROP_ROLES:
             return True
@@ -184,9 +216,15 @@ class Page:
         return " ".join(text for k, text, _ in self.blocks if inside[k] and not self.dropped[k])
 
 
+def depth(path: str) -> int:
+    """Levels of a path."""
+    digest = _DEPTH.match(path)
+    return path.count(">") + (int(digest[1]) if digest else 0)
+
+
 def best(scores: dict[str, float]) -> str | None:
     """The winning path: the highest score, then the deepest, then the first by name."""
-    return min(scores, key=lambda p: (-round(scores[p], 9), -p.count(">"), p)) if scores else None
+    return min(scores, key=lambda p: (-round(scores[p], 9), -depth(p), p)) if scores else None
 
 
 def host_of(url):
@@ -220,21 +258,24 @@ def winners(pages: DataFrame) -> DataFrame:
     """(host, path): each host's winning path, of ``pages(host, html)``."""
     votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes double")
     total = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    depth = F.length(F.regexp_replace("path", "[^>]", ""))
+    above = F.coalesce(F.regexp_extract("path", r"^(\d+)~", 1).try_cast("int"), F.lit(0))
+    depth = F.length(F.regexp_replace("path", "[^>]", "")) + above
     return total.groupBy("host").agg(F.max_by("path", F.struct("votes", depth.alias("depth"), "path")).alias("path"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages(page_id, url, html)``.
 
     Character references are decoded, white space inside a block becomes one space,
     blocks are joined in page order by one space.  A null or empty page has the empty
     text; pages without a host vote together; repeated rows each vote and get a row;
-    other columns are ignored; an empty table gives no rows.
+    pages are read whole, however long or deep; of paths with equal votes the deepest,
+    then the last by name wins; other columns are ignored; an empty table gives no rows.
+    Winning paths beyond ``limit`` bytes are joined by a shuffle instead of a broadcast.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
     won = cut(winners(pages))
     hosts = won.agg(F.count("*"), F.coalesce(F.max(F.length("path") + F.length("host")), F.lit(0))).first()
     # One path for each host: broadcast only while their counted size is small.
-    joined = pages.join(broadcast_if(won, hosts[0], hosts[1] + 64), "host", "left")
+    joined = pages.join(broadcast_if(won, hosts[0], hosts[1] + 64, limit), "host", "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
