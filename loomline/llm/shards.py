@@ -6,8 +6,8 @@ texts are tokenised once only).  A keyed Feistel network with cycle-walking perm
 the numbers; range partitions of the permuted numbers, each sorted, write shards.  A
 sequence's global slot is its place in that order: slots are dense from 0.  Record
 ``k`` of a shard is at byte ``k * stride``: a count (4 bytes), then ids padded with
-zeros.  A reader can thus start, or resume, at any slot by seeking; how many slots a
-shard has follows from its size.
+zeros.  An index file has the first slot of each shard; a reader can thus start, or
+resume, at any slot by reading the index and seeking.
 """
 
 from __future__ import annotations
@@ -18,15 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut, lean, work_folder
+from .common import BROADCAST_LIMIT, broadcast_if, cut, lean, work_folder
 from .ranks import buckets, running_total
 from .tokens import document_ids, encoder
 
-#: Ids of a sequence; permuted numbers that a shard spans; rounds and key of the network.
+#: Ids of a sequence; permuted numbers that a shard spans at least; rounds and key of the network.
 LENGTH, SPAN, ROUNDS, KEY = 256, 65_536, 6, 20_240_501
+#: Most shards (a larger corpus has larger ones, about 1 GB each at 100 TB), and copies of a row that one row of the plan writes.
+MOST_SHARDS, COPIES = 65_536, 64
+INDEX = "index.bin"
 
 
 def _round_keys(key: int, rounds: int) -> np.ndarray:
@@ -74,18 +77,29 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGTH, span: int = SPAN, key: int = KEY, tokenizer: tuple | None = None) -> DataFrame:
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme; one without is on Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def write_shards(
+    docs: DataFrame, folder: str | None = None, length: int = LENGTH, span: int = SPAN, key: int = KEY, tokenizer: tuple | None = None, limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Write the shards and their manifest; a row for each sequence: doc_id, start, length, ids_crc32, slot, shard, byte_offset.
 
     The folder must be shared by all executors (default: a new one below the
-    session's checkpoint folder) and may be on any file system pyarrow opens.  A
-    shard is written under another name and moved when complete, so that a repeated
-    or lost task does no harm.  A null or empty text is the closing id alone;
-    repeated rows are written each for itself; null ids count as a document of
-    their own; other columns are ignored; an empty table writes nothing.
+    session's checkpoint folder) and may be on any file system pyarrow opens; without a
+    scheme it is on Spark's default one.  A shard is written under another name and
+    moved when complete, so that a repeated or lost task does no harm.  A null or empty
+    text is the closing id alone; texts are cut whole, however long; repeated rows are
+    written each for itself; null ids count as a document of their own; other columns
+    are ignored; an empty table writes nothing.  Ids take two bytes: a larger one is an
+    error.  Numbers of rows beyond ``limit`` bytes are joined to the texts by a shuffle
+    instead of a broadcast.
     """
     spark = docs.sparkSession
-    folder = (folder or work_folder(spark, "shards")).rstrip("/")
+    folder = _qualified(spark, (folder or work_folder(spark, "shards")).rstrip("/"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.xxhash64("doc_id", "text"))
     # A byte is one id at most, and one id closes the document.
     bound = F.ceil((F.octet_length(F.coalesce("text", F.lit(""))) + 1) / length).cast("long")
@@ -107,11 +121,15 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
         .select(F.col("doc_id").alias("_id"), F.col("_row").alias("_key"), (F.col("_first") + F.col("_before")).alias("number"), "copies")
     )
     # Numbers are sent to the texts while they are few; else texts are shuffled to them.
-    numbered = broadcast_if(numbered, entries, 40)
+    numbered = broadcast_if(numbered, entries, 40, limit)
     joined = docs.join(numbered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))).select("doc_id", "_row", "text", "number", "copies")
     if most > 1:
-        # Copies of a whole row have the same text: one of them writes the sequences of all.
-        joined = joined.where("copies = 1").unionByName(joined.where("copies > 1").dropDuplicates(["doc_id", "_row"]))
+        # Copies of a whole row have the same text: one of them stands for all, and is dealt out again in parts of a bounded size.
+        one = joined.where("copies > 1").dropDuplicates(["doc_id", "_row"])
+        parts = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPIES)))).repartition("doc_id", "_row", "_part")
+        each = F.ceil((F.octet_length(F.coalesce("text", F.lit(""))) + 1) / length).cast("long")
+        parts = parts.withColumn("number", F.col("number") + F.col("_part") * each).withColumn("copies", F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("_part")))
+        joined = joined.where("copies = 1").unionByName(parts.drop("_part"))
 
     @lean
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +138,10 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
             numbers: list[int] = []
             out: list[tuple] = []
             for i, t, number, copies in zip(*(b.column(c) for c in ("doc_id", "text", "number", "copies")), strict=True):
-                data, i = document_ids(encode, t.as_py()).astype("<u2").tobytes(), i.as_py()
+                wide, i = document_ids(encode, t.as_py()), i.as_py()
+                if wide.max() > 0xFFFF:
+                    raise ValueError(f"id {wide.max()} doesn't fit in two bytes")
+                data = wide.astype("<u2").tobytes()
                 parts = [(i, at // 2, data[at : at + 2 * length]) for at in range(0, len(data), 2 * length)] * copies.as_py()
                 number = number.as_py()
                 numbers += range(number, number + len(parts))
@@ -132,7 +153,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
                     names=["position", "doc_id", "start", "ids"],
                 )
 
-    size = stride(length)
+    size, span = stride(length), max(span, -(-total // MOST_SHARDS))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
@@ -163,11 +184,14 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
     sorted_ranges = dealt.repartitionById(shards, F.col("_shard")).sortWithinPartitions("position").drop("_shard")
     sorted_ranges.mapInArrow(write, "doc_id long, start long, length long, ids_crc32 long, shard long, record long").write.mode("overwrite").parquet(f"{folder}/manifest")
     manifest = spark.read.parquet(f"{folder}/manifest")
-    # A row for each shard: with spans of this size, 16 bytes for every few MB.
+    # At most MOST_SHARDS rows.
     offsets, at = [], 0
     for r in sorted(manifest.groupBy("shard").count().collect()):
         offsets.append((r["shard"], at))
         at += r["count"]
+    system, base = _open(folder)
+    with system.open_output_stream(f"{base}/{INDEX}") as out:
+        out.write(np.array([*offsets, (shards, at)], "<i8").tobytes())
     place = broadcast_if(spark.createDataFrame(offsets, "shard long, first long"), len(offsets), 16)
     return manifest.join(place, "shard").select(
         "doc_id", "start", "length", "ids_crc32", (F.col("first") + F.col("record")).alias("slot"), "shard", (F.col("record") * size).alias("byte_offset")
@@ -179,18 +203,18 @@ _MANIFEST = "doc_id long, start long, length long, ids_crc32 long, slot long, sh
 
 def read_slots(folder: str, first: int, count: int, length: int = LENGTH) -> Iterator[np.ndarray]:
     """The ids of ``count`` slots from ``first`` on, in order, with one seek for each shard."""
-    from pyarrow import fs
-
     system, base = _open(folder)
-    size, before = stride(length), 0
-    found = [f for f in system.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("shard-")]
-    for info in sorted(found, key=lambda f: f.base_name):
-        inside = info.size // size
-        lo, hi = max(first, before), min(first + count, before + inside)
-        if lo < hi:
-            with system.open_input_file(info.path) as f:
-                f.seek((lo - before) * size)
-                for _ in range(hi - lo):
-                    record = f.read(size)
-                    yield np.frombuffer(record, "<u2", int.from_bytes(record[:4], "little"), 4).astype(np.uint32)
-        before += inside
+    size = stride(length)
+    with system.open_input_file(f"{base}/{INDEX}") as f:
+        index = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
+    starts = index[:, 1]
+    last = min(first + count, int(starts[-1]))
+    for k in range(int(np.searchsorted(starts, first, "right")) - 1, len(index) - 1):
+        lo, hi = max(first, int(starts[k])), min(last, int(starts[k + 1]))
+        if lo >= last:
+            return
+        with system.open_input_file(f"{base}/{shard_name(int(index[k, 0]))}") as f:
+            f.seek((lo - int(starts[k])) * size)
+            for _ in range(hi - lo):
+                record = f.read(size)
+                yield np.frombuffer(record, "<u2", int.from_bytes(record[:4], "little"), 4).astype(np.uint32)
