@@ -97,6 +97,9 @@ MARKER = r"(?i)licen[sc]e|permission|redistribut|software|spdx|available under|r
 SPLIT = r"(?<=[.;:!?])\s+|\n+"
 NOT_WORD = r"[^a-z0-9.+/-]+"
 #: What may stand before a word or after it is dropped: bullets, points at the end.
+#: An owner's name, which differs from text to text, and what stands for it in the table.
+OWNER, ANY_OWNER = r"neither the name of (?:[^ ]+ ){1,16}?nor the names? of (?:[^ ]+ ){1,8}?contributors", "neither the name of the copyright holder nor the names of its contributors"
+OWNED = "neither the name of "
 EDGES = r"(^| )[.+/-]+(?= |$)|[./-]+(?= |$)"
 
 
@@ -136,7 +139,8 @@ def identifiers(text: Column) -> Column:
     starts, most = _starts(), _most()
 
     def look_up(x: Column) -> Column:
-        return F.try_element_at(F.try_element_at(table, F.length(x)), x)
+        named = F.when(x.startswith(OWNED), F.regexp_replace(x, OWNER, ANY_OWNER)).otherwise(x)
+        return let(named, lambda y: F.try_element_at(F.try_element_at(table, F.length(y)), y))
 
     def of(pieces: Column) -> Column:
         def longest(i: Column) -> Column:
@@ -193,7 +197,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences) for each row of ``docs(doc_id, text)``.
 
     sentence_ids and licences are joined by commas, empty if none.  A null or empty
-    text has none; repeated rows are each scanned; other columns are ignored.
+    text has none; texts are read whole, however long; of rules that match alike the
+    first in order counts; repeated rows are each scanned; other columns are ignored;
+    an empty table gives no rows.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identifiers(F.coalesce("text", F.lit(""))).alias("ids"))
     return found.select(
@@ -206,10 +212,14 @@ def python_scan(text: str | None) -> tuple[int, str, str]:
     table = known()
     pieces = [n for n in (python_normal(x) for x in re.split(SPLIT, text or "", flags=re.ASCII)) if n]
     ids, at, most = [], 0, _most()
+
+    def joined(k: int) -> str:
+        return re.sub(OWNER, ANY_OWNER, " ".join(pieces[at : at + k]))
+
     while at < len(pieces):
-        n = max((k for k in range(1, most + 1) if at + k <= len(pieces) and " ".join(pieces[at : at + k]) in table), default=0)
+        n = max((k for k in range(1, most + 1) if at + k <= len(pieces) and joined(k) in table), default=0)
         if n:
-            ids.append(table[" ".join(pieces[at : at + n])])
+            ids.append(table[joined(n)])
         at += n or 1
     rest, found = list(ids), set()
     for name, rule in RULES:

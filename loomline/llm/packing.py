@@ -100,8 +100,10 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: tuple | None = None) -> D
 
     Columns: doc_id, start (ids before the piece in its document), length, ids_crc32
     (of the ids as little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
-    A null or empty text is the closing id alone; repeated rows are packed each for
-    itself; null ids are kept; other columns are ignored; an empty table gives no rows.
+    A null or empty text is the closing id alone; texts are cut whole, however long;
+    repeated rows are packed each for itself (pieces equal in doc_id and start take the
+    places of both in either order); null ids are kept; other columns are ignored; an
+    empty table gives no rows.
     """
     cutted = cut(pieces(docs, size, tokenizer))
     histogram = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -165,8 +165,10 @@ def train(spark: SparkSession, labelled: DataFrame | None = None):
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, word, candidate, probability, is_secret) of each candidate of each row of ``docs(doc_id, text)``.
 
-    A null or empty text has no candidates; repeated rows give repeated findings;
-    other columns are ignored.
+    A null or empty text has no candidates; texts are read whole, however long; a
+    candidate that stands at several places is several findings, and repeated rows give
+    repeated findings; a probability of just ``threshold`` is a secret; other columns
+    are ignored; an empty table gives no rows.
     """
     from pyspark.ml.functions import vector_to_array
 
