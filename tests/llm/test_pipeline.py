@@ -82,6 +82,8 @@ def test_decontamination_drops_the_contaminated(spark, steps):
 
     def contaminated(text):
         w = _words(pattern, text)
+        if any(tuple(w[k : k + 13]) in windows[13] for k in range(len(w) - 12)):
+            return True
         hit = {k + j for size, grams in windows.items() for k in range(len(w) - size + 1) if size and tuple(w[k : k + size]) in grams for j in range(size)}
         return bool(hit) and 20 * len(hit) >= len(w)
 
@@ -111,5 +113,5 @@ def test_packing_places_every_id_once(steps):
 
 def test_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0, name

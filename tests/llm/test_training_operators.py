@@ -212,6 +212,7 @@ def test_licence_notices(spark):
         'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n': "Apache-2.0",
         f"MIT License\n\n{mit}\n\nThe above copyright notice": "MIT",
         bsd: "BSD-2-Clause",
+        bsd + "\n3. Neither the name of the Regents of Some State nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n": "BSD-3-Clause",
         "This software is\nreleased under the MIT License\nMore text follows": "MIT",
     }
     rows = {r.doc_id: tuple(r)[1:] for r in licenses.scan(_table(spark, list(enumerate(texts)))).collect()}
