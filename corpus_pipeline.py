@@ -17,29 +17,51 @@ from loomline.llm.common import read_table, work_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on ``labels``, doesn't reject."""
+    """Documents that the classifier, trained on ``labels``, doesn't reject.
+
+    Null texts and texts without words go; null ids, repeated rows and long texts are
+    scored like any; without enough labels all texts with words stay; no documents give
+    none.  Columns of any name are kept.
+    """
     model = quality_model.train(docs, read_table(spark, sf_dir, "labels"))
     return quality_model.score(docs, model).where("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; documents of which nothing is left go, as the first that had those lines keeps them."""
+    """Texts without recurring lines; documents of which nothing is left go, as the first that had those lines keeps them.
+
+    Null and empty texts stay; rows with a null id keep no recurring line; repeated rows
+    are copies, which make no line recurrent; long texts are read whole; no documents
+    give none; n_chars is that of the new text.
+    """
     cleaned = line_dedup.drop_recurring(docs).where(F.col("text").rlike(r"\S") | (F.col("n_dropped") == 0))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of 0.8 or more of five-word shingles."""
+    """One document of each group at a similarity of 0.8 or more of five-word shingles.
+
+    The smallest id stays; texts without words all stay; rows with null or repeated ids
+    are judged each by its own text; long texts are read whole; no documents give none.
+    """
     return minhash_dedup.keep_one(docs, percent=80, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by ``benchmark``."""
+    """Documents without a whole window of ``benchmark``, and not contaminated by shorter items.
+
+    Null and empty texts stay, null item ids count, rows are judged each by its own
+    text, long texts are read whole; no documents, or no items, are no fault.
+    """
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of at most 2048 ids."""
+    """Pieces of the documents and their places in sequences of at most 2048 ids.
+
+    A null or empty text is the closing id alone; repeated rows are packed each for
+    itself, null ids are kept, long texts are cut whole; no documents give no pieces.
+    """
     return packing.pack(docs)
 
 
