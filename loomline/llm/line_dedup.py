@@ -18,15 +18,16 @@ left to document dedup.  The first document with a recurring template keeps it;
 elsewhere the line, or the sentence, is dropped.
 
 Most leaves and sentences occur too rarely to matter.  A first pass counts them; those
-that occur often enough go to the executors as a bit set of bounded size (a bit that is
-set by chance only costs time), and only their units are looked at further.
+that occur often enough, and not in copies of one text only, go to the executors as a
+bit set of bounded size (a bit that is set by chance only costs time), and only their
+units are looked at further.  Likewise only documents that lose something are parsed
+once more.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, cut, free_name, lean, small_enough
+from .common import BROADCAST_LIMIT, broadcast_if, cut, free_name, lean, small_enough
 
 #: Tokens of a sentence to be a unit of its own, of a short line, and of a long unit.
 LEAST_SENTENCE, SHORT, LONG = 8, 6, 50
@@ -47,8 +48,8 @@ MINIMA, SAME = 16, 8
 LEADING, BLOCKS = 2, 5
 #: Bits for each key of a bit set, and the most bits in all (64 MB), as a power of two.
 BITS_A_KEY, MOST_BITS = 32, 29
-#: Kinds of templates; a line with the pair p of its blocks generalised is of kind FIELDS + p.
-LINE, SENTENCE, LEAF, FIELDS = 1, 2, 3, 16
+#: Kinds of templates: whole lines, sentences, leaves, lines with blocks generalised.
+LINE, SENTENCE, LEAF, FIELDS = 1, 2, 3, 4
 
 
 def _need(n: int) -> int:
@@ -66,30 +67,26 @@ def _digits_in(text: str) -> bool:
 
 def _generalised(tokens: list[str]) -> list[str]:
     """Tokens that hold a digit become ``<*>``, with the marks that end them."""
-    return [f"<*>{t[len(t.rstrip('.!?')):]}" if _digits_in(t) else t for t in tokens]
-
-
-def _pairs(n: int) -> list[list[tuple[int, int]]]:
-    """The ranges of positions that each template of a line of ``n`` tokens generalises."""
-    rest = n - LEADING
-    if rest < 1:
-        return []
-    count = min(BLOCKS, rest)
-    blocks = [(LEADING + rest * k // count, LEADING + rest * (k + 1) // count) for k in range(count)]
-    return [list(p) for p in combinations(blocks, 2 if count > 2 else 1)]
+    return [f"<*>{t[len(t.rstrip('.!?')) :]}" if _digits_in(t) else t for t in tokens]
 
 
 def line_templates(tokens: list[str]) -> list[int]:
-    """The templates of a line, given as its generalised tokens."""
+    """The templates of a line, given as its generalised tokens.
+
+    Blocks are hashed once; a template is the hash of its leading tokens and of the
+    blocks that it keeps.
+    """
     n = len(tokens)
-    pairs, need = _pairs(n), _need(n)
-    out = [_sign(LINE, need, " ".join(tokens))] if not pairs or need == 2 else []
-    for p, ranges in enumerate(pairs):
-        own, at = [], 0
-        for a, b in ranges:
-            own += [*tokens[at:a], f"<{b - a}>"]
-            at = b
-        out.append(_sign(FIELDS + p, need & 1, " ".join([*own, *tokens[at:]])))
+    need, rest = _need(n), n - LEADING
+    out = [_sign(LINE, need, " ".join(tokens))] if rest < 1 or need == 2 else []
+    if rest < 1:
+        return out
+    count = min(BLOCKS, rest)
+    ends = [LEADING + rest * k // count for k in range(count + 1)]
+    head = f"{n} {' '.join(tokens[:LEADING])}"
+    blocks = [f" {k} {xxhash.xxh3_64_intdigest(' '.join(tokens[a:b]))}" for k, (a, b) in enumerate(pairwise(ends))]
+    for kept in combinations(blocks, count - (2 if count > 2 else 1)):
+        out.append(_sign(FIELDS, need & 1, head + "".join(kept)))
     return out
 
 
@@ -135,18 +132,18 @@ class BitSet:
         self.words, self.mask = words, len(words) * 64 - 1
 
     @classmethod
-    def of(cls, keys: DataFrame) -> BitSet:
-        """Of ``keys(key)``, folded on the executors: the driver gets at most 2^MOST_BITS bits."""
+    def of(cls, keys: DataFrame, number: Column) -> BitSet:
+        """Of the ``number`` of each row of ``keys``, folded on the executors: the driver gets at most 2^MOST_BITS bits."""
         bits = max(10, min(MOST_BITS, (BITS_A_KEY * keys.count()).bit_length()))
         words = np.zeros(1 << (bits - 6), np.int64)
-        bit = F.shiftright("key", 2).bitwiseAND(F.lit((1 << bits) - 1))
+        bit = number.bitwiseAND(F.lit((1 << bits) - 1))
         rows = keys.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
         found = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
         words[found["word"].to_numpy()] = found["bits"].to_numpy()
         return cls(words.view(np.uint64))
 
-    def has(self, keys: list[int]) -> np.ndarray:
-        at = (np.asarray(keys, np.int64) >> 2) & self.mask
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers & self.mask
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
@@ -163,7 +160,7 @@ def frequent(parsed: list, known: BitSet) -> list[tuple[int, int | None, list[in
                 keys.append(t)
     if not keys:
         return []
-    return [(k, j, line_templates(parsed[k][1].split(" ")) if j is None else [keys[i]]) for i in np.flatnonzero(known.has(keys)).tolist() for k, j in (places[i],)]
+    return [(k, j, line_templates(parsed[k][1].split(" ")) if j is None else [keys[i]]) for i in np.flatnonzero(known.has(np.asarray(keys, np.int64) >> 2)).tolist() for k, j in (places[i],)]
 
 
 def remaining(parsed: list, units: list, gone: set[int]) -> tuple[str, int]:
@@ -191,14 +188,31 @@ def remaining(parsed: list, units: list, gone: set[int]) -> tuple[str, int]:
     return "\n".join(kept), len(lines | inside.keys())
 
 
+#: Odd numbers by which the bytes of a word are weighed, by place.
+_PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(1024)], np.uint64)
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word (none has a space in it), all at once."""
+    data = np.frombuffer((" ".join(words) + " ").encode("utf-8", "replace"), np.uint8)
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+    x = np.add.reduceat((data.astype(np.uint64) + np.uint64(7)) * _PLACES[place & 1023], starts)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _bins(words: set[str]) -> list[list[tuple[int, str]]]:
     """The longer words (all, if there is none) by the low bits of their hashes; in each bin by hash."""
     bins: list[list[tuple[int, str]]] = [[] for _ in range(MINIMA)]
-    for w in [w for w in words if len(w) >= 6] or words:
-        h = zlib.crc32(w.encode("utf-8", "replace"))
-        bins[h % MINIMA].append((h, w))
-    for b in bins:
-        b.sort()
+    some = [w for w in words if len(w) >= 6] or [w for w in words if w]
+    if some:
+        hashes = _word_hashes(some)
+        order = np.argsort(hashes, kind="stable")
+        for k, h in zip(order.tolist(), hashes[order].tolist(), strict=True):
+            bins[h & MINIMA - 1].append((h, some[k]))
     return bins
 
 
@@ -239,12 +253,19 @@ def _unit_rows(text: str, known: BitSet) -> dict[int, int]:
     return out
 
 
+@lean
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        # A document counts a key once.
-        found = [k for t in b.column("text").to_pylist() if t for k in set(keys_of(parse(t)))]
+        found: list[int] = []
+        texts: list[int] = []
+        for text, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist(), strict=True):
+            if text:
+                # A document counts a key once.
+                own = set(keys_of(parse(text)))
+                found += own
+                texts += [h] * len(own)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (found, texts)], names=["key", "h"])
 
 
 def _units(sent):
@@ -299,20 +320,25 @@ def _least(key: str) -> Column:
 
 
 def _known(docs: DataFrame):
-    """The keys that stand in enough documents, copies included, as a broadcast bit set."""
-    keys = docs.select("text").mapInArrow(lean(_keys), "key long")
-    often = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= _least("key")).select("key"))
-    return docs.sparkSession.sparkContext.broadcast(BitSet.of(often))
+    """The keys that stand in enough documents, not all of one text, as a broadcast bit set."""
+    keys = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(_keys, "key long, h long").groupBy("key")
+    often = keys.agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where((F.col("n") >= _least("key")) & (F.col("lo") < F.col("hi")))
+    return docs.sparkSession.sparkContext.broadcast(BitSet.of(cut(often.select("key")), F.shiftright("key", 2)))
 
 
-def recurring(docs: DataFrame, known=None) -> DataFrame:
-    """(template, first_doc) of each recurring template of ``docs(doc_id, text)``.
+def _units_of(docs: DataFrame) -> tuple[DataFrame, object]:
+    """(template, sketch, doc_id) of the units that may recur, kept; and the keys by which they were chosen."""
+    known = _known(docs)
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units(known), "template long, sketch long, doc_id long")), known
+
+
+def recurring(units: DataFrame) -> DataFrame:
+    """(template, first_doc) of each recurring template of ``units(template, sketch, doc_id)``.
 
     Only templates with enough distinct sketches are looked at further.  The rows of
     one, dealt by template and sketch, are first thinned where they lie, so that none
     gathers more than a few rows of each partition.
     """
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units(known or _known(docs)), "template long, sketch long, doc_id long")
     differing = units.groupBy("template", "sketch").agg(F.min("doc_id").alias("first_doc"))
     least = _least("template")
     maybe = differing.groupBy("template").agg(F.count("*").alias("sketches"), F.min("first_doc").alias("first_doc")).where(F.col("sketches") >= least)
@@ -334,11 +360,13 @@ def drop_recurring(docs: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     same.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    known = _known(docs)
-    found = cut(recurring(docs, known))
+    units, known = _units_of(docs)
+    found = cut(recurring(units))
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_lines long", "n_dropped long"])
     n = found.count()
+    losing = units.join(broadcast_if(found, n, 17, limit), "template").where("doc_id is null or first_doc is null or doc_id <> first_doc").select("doc_id", "template")
+    ident, drop = free_name(docs, "_id"), free_name(docs, "_drop")
     if small_enough(n, 17, limit):
         table = found.toArrow()
         templates, firsts = table["template"].to_numpy(), pc.fill_null(table["first_doc"], 0).to_numpy()
@@ -359,30 +387,35 @@ def drop_recurring(docs: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 
         rows = docs
     else:
-        ident, drop = free_name(docs, "_id"), free_name(docs, "_drop")
-        units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units(known), "template long, sketch long, doc_id long")
         # A document's list is as long as it has recurring templates.
-        lists = units.join(found, "template").where("doc_id is null or not doc_id <=> first_doc").groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set("template").alias(drop))
+        lists = losing.groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set("template").alias(drop))
         rows = docs.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)), "left").drop(ident)
 
         def given(batch: pa.RecordBatch, k: int, doc: int | None, own: list[int]) -> set[int]:
             return set(batch.column(drop)[k].as_py() or ()) & set(own)
 
+    # Other documents needn't be parsed again; a null id counts as 0.
+    number = F.xxhash64(F.coalesce("doc_id", F.lit(0)))
+    touched = docs.sparkSession.sparkContext.broadcast(BitSet.of(cut(losing.select("doc_id").distinct()), number))
+    mark = free_name(docs, "_mark")
+    rows = rows.withColumn(mark, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+
     @lean
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pc.cast(b.column("doc_id"), pa.int64()).to_pylist()
+            some = touched.value.has(b.column(mark).to_numpy())
             texts, lines, dropped = [], [], []
             for k, text in enumerate(b.column("text").to_pylist()):
-                touched = 0
+                lost = 0
                 lines.append(text.count("\n") + 1 if text else 0)
-                if text:
+                if text and some[k]:
                     parsed = parse(text)
                     units = frequent(parsed, known.value)
                     if gone := given(b, k, ids[k], [t for _, _, own in units for t in own]):
-                        text, touched = remaining(parsed, units, gone)
+                        text, lost = remaining(parsed, units, gone)
                 texts.append(text)
-                dropped.append(touched)
+                dropped.append(lost)
             columns = [pa.array(texts, b.schema.field(c).type) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
