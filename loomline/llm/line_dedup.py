@@ -6,7 +6,7 @@ dealt into at most ``BLOCKS`` blocks, and lines merge that agree in all but two
 (in all but one where there are fewer than three): positions in these are the
 template's fields.  At least 60 per cent of the positions, the leading ones among them,
 are thus constant, and lines of any length from three tokens on can have fields.
-Shorter lines have themselves as template, and so do long ones besides.  Sentences of
+Shorter lines have themselves as template, and long ones besides.  Sentences of
 at least ``LEAST_SENTENCE`` tokens are units too, as they stand, since repeated
 passages often share a line with other text.
 
@@ -77,34 +77,32 @@ def line_templates(tokens: list[str]) -> list[int]:
     blocks that it keeps.
     """
     n = len(tokens)
-    need, rest = _need(n), n - LEADING
-    out = [_sign(LINE, need, " ".join(tokens))] if rest < 1 or need == 2 else []
+    need, rest = _need(n) & 1, n - LEADING
     if rest < 1:
-        return out
+        return [_sign(LINE, need, " ".join(tokens))]
     count = min(BLOCKS, rest)
     ends = [LEADING + rest * k // count for k in range(count + 1)]
     head = f"{n} {' '.join(tokens[:LEADING])}"
     blocks = [f" {k} {xxhash.xxh3_64_intdigest(' '.join(tokens[a:b]))}" for k, (a, b) in enumerate(pairwise(ends))]
-    for kept in combinations(blocks, count - (2 if count > 2 else 1)):
-        out.append(_sign(FIELDS, need & 1, head + "".join(kept)))
-    return out
+    return [_sign(FIELDS, need, head + "".join(kept)) for kept in combinations(blocks, count - (2 if count > 2 else 1))]
 
 
 #: White space that isn't one space between words; texts without it are split as they stand.
 _UNEVEN = ("  ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
 
-def parse(text: str) -> list[tuple[str, str, int | None, list[tuple[str, int | None]]]]:
-    """For each line: itself, its generalised tokens joined by spaces, its leaf (None without tokens), and its sentences with their templates (None if too short)."""
+def parse(text: str) -> list[tuple[str, str, int | None, list[tuple[str, int | None]], int | None]]:
+    """For each line: itself, its generalised tokens joined by spaces, its leaf (None without tokens), its sentences with their templates (None if too short), and the template of a long line as a whole (else None)."""
     digits, even, out = _digits_in(text), not any(map(text.__contains__, _UNEVEN)), []
     for line in text.split("\n"):
         low = line.strip() if even else " ".join(line.split())
         if some := digits and _digits_in(low):
             low = " ".join(_generalised(low.split(" ")))
-        leaf = None
+        leaf = whole = None
         if low:
             n = low.count(" ") + 1
-            leaf = _sign(LEAF, _need(n), f"{n} {low if n <= LEADING else ' '.join(low.split(' ', LEADING)[:LEADING])}")
+            leaf = _sign(LEAF, _need(n) & 1, f"{n} {low if n <= LEADING else ' '.join(low.split(' ', LEADING)[:LEADING])}")
+            whole = _sign(LINE, 2, low) if n >= LONG else None
         sentences = line.replace(". ", ".\0").replace("! ", "!\0").replace("? ", "?\0").split("\0") if line else []
         signed = []
         for s in sentences:
@@ -116,13 +114,13 @@ def parse(text: str) -> list[tuple[str, str, int | None, list[tuple[str, int | N
                 x = " ".join(_generalised(x.split(" ")))
             n = x.count(" ") + 1
             signed.append((s, _sign(SENTENCE, _need(n), x) if n >= LEAST_SENTENCE else None))
-        out.append((line, low, leaf, signed))
+        out.append((line, low, leaf, signed, whole))
     return out
 
 
 def keys_of(parsed: list) -> list[int]:
-    """Leaves and sentences, in order."""
-    return [k for _, _, leaf, sentences in parsed for k in (leaf, *(t for _, t in sentences)) if k is not None]
+    """Leaves, long lines and sentences, in order."""
+    return [k for _, _, leaf, sentences, whole in parsed for k in (leaf, whole, *(t for _, t in sentences)) if k is not None]
 
 
 class BitSet:
@@ -150,17 +148,21 @@ class BitSet:
 def frequent(parsed: list, known: BitSet) -> list[tuple[int, int | None, list[int]]]:
     """(line, sentence or None, templates) of the units that may recur."""
     places, keys = [], []
-    for k, (_, _, leaf, sentences) in enumerate(parsed):
+    for k, (_, _, leaf, sentences, whole) in enumerate(parsed):
         if leaf is not None:
-            places.append((k, None))
+            places.append((k, None, False))
             keys.append(leaf)
+        if whole is not None:
+            places.append((k, None, True))
+            keys.append(whole)
         for j, (_, t) in enumerate(sentences):
             if t is not None:
-                places.append((k, j))
+                places.append((k, j, True))
                 keys.append(t)
     if not keys:
         return []
-    return [(k, j, line_templates(parsed[k][1].split(" ")) if j is None else [keys[i]]) for i in np.flatnonzero(known.has(np.asarray(keys, np.int64) >> 2)).tolist() for k, j in (places[i],)]
+    found = np.flatnonzero(known.has(np.asarray(keys, np.int64) >> 2)).tolist()
+    return [(k, j, [keys[i]] if own else line_templates(parsed[k][1].split(" "))) for i in found for k, j, own in (places[i],)]
 
 
 def remaining(parsed: list, units: list, gone: set[int]) -> tuple[str, int]:
@@ -174,7 +176,7 @@ def remaining(parsed: list, units: list, gone: set[int]) -> tuple[str, int]:
             else:
                 inside.setdefault(k, set()).add(j)
     kept = []
-    for k, (line, _, _, sentences) in enumerate(parsed):
+    for k, (line, _, _, sentences, _) in enumerate(parsed):
         if k in lines:
             continue
         if k not in inside:
@@ -204,22 +206,28 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bins(words: set[str]) -> list[list[tuple[int, str]]]:
-    """The longer words (all, if there is none) by the low bits of their hashes; in each bin by hash."""
-    bins: list[list[tuple[int, str]]] = [[] for _ in range(MINIMA)]
-    some = [w for w in words if len(w) >= 6] or [w for w in words if w]
-    if some:
-        hashes = _word_hashes(some)
-        order = np.argsort(hashes, kind="stable")
-        for k, h in zip(order.tolist(), hashes[order].tolist(), strict=True):
-            bins[h & MINIMA - 1].append((h, some[k]))
-    return bins
-
-
-def _sketch(bins: list[list[tuple[int, str]]], own: set[str]) -> int:
-    """Four bits of the smallest hash of each bin, without the words of ``own``; an empty bin takes the next one's, and 0 stands for no word at all."""
-    low = [next((h for h, w in b if w not in own), None) for b in bins]
-    if None in low:
+def _by_hash(text: str) -> list[tuple[int, str]]:
+    """The longer words of a text (all, if there is none) by their hashes."""
+    words = set(text.split())
+    some = [w for w in words if len(w) >= 6] or list(words)
+    if not some:
+        return []
+    hashes = _word_hashes(some)
+    order = np.argsort(hashes, kind="stable")
+    return list(zip(hashes[order].tolist(), map(some.__getitem__, order.tolist()), strict=True))
+
+
+def _sketch(by_hash: list[tuple[int, str]], own: set[str]) -> int:
+    """Four bits of the smallest hash of each bin (by low bits), without the words of ``own``; an empty bin takes the next one's, and 0 stands for no word at all."""
+    low: list[int | None] = [None] * MINIMA
+    left = MINIMA
+    for h, w in by_hash:
+        if low[h & MINIMA - 1] is None and w not in own:
+            low[h & MINIMA - 1] = h
+            left -= 1
+            if not left:
+                break
+    if left:
         filled = [k for k, h in enumerate(low) if h is not None]
         if not filled:
             return 0
@@ -243,13 +251,12 @@ def _unit_rows(text: str, known: BitSet) -> dict[int, int]:
     units = frequent(parsed, known)
     if not units:
         return out
-    words: set[str] = set()
-    for _, low, _, _ in parsed:
-        words.update(low.split(" "))
-    bins = _bins(words)
+    words = _by_hash(text)
+    sketches: dict[tuple, int] = {}
     for k, j, templates in units:
-        _, low, _, sentences = parsed[k]
-        out.update(dict.fromkeys(templates, _sketch(bins, set(low.split(" ") if j is None else _generalised(sentences[j][0].split())))))
+        if (k, j) not in sketches:
+            sketches[k, j] = _sketch(words, set((parsed[k][0] if j is None else parsed[k][3][j][0]).split()))
+        out.update(dict.fromkeys(templates, sketches[k, j]))
     return out
 
 
