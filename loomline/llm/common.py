@@ -34,9 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    With ``few``, for what is small against the corpus, it gets two files for each core
+    at most instead of one for each shuffle partition.
+    """
     shared_dir(df.sparkSession)
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 

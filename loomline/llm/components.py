@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        .distinct(),
+        few=True,
     )
     state = _state(e)
     for _ in range(max_rounds):
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(floor.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(small)
+        new = cut(small, few=True)
         now = _state(new)
         done, e, state = now == state, new, now
         if done:

@@ -68,7 +68,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = B
     have these.  A window that many items share is one row here.  Tables of windows
     beyond ``limit`` bytes are joined by a shuffle instead of a broadcast.
     """
-    table = cut(windows(items, window))
+    table = cut(windows(items, window), few=True)
     counts = table.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.size("item_ids")).alias("ids")).collect()
     sizes = {r["size"]: r["n"] for r in counts}
     total, listed = sum(sizes.values()), max(1, sum(r["ids"] for r in counts))
@@ -150,7 +150,7 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, limit: int) -> tuple
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     found = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, window, limit)
     ident, key = free_name(docs, "_hit_id"), free_name(docs, "_hit_text")
-    return cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias(ident), F.col("_text").alias(key), "spans", "n_words")), ident, key
+    return cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias(ident), F.col("_text").alias(key), "spans", "n_words"), few=True), ident, key
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = BROADCAST_LIMIT) -> DataFrame:

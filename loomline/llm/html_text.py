@@ -274,7 +274,7 @@ def main_text(pages: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     Winning paths beyond ``limit`` bytes are joined by a shuffle instead of a broadcast.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
-    won = cut(winners(pages))
+    won = cut(winners(pages), few=True)
     hosts = won.agg(F.count("*"), F.coalesce(F.max(F.length("path") + F.length("host")), F.lit(0))).first()
     # One path for each host: broadcast only while their counted size is small.
     joined = pages.join(broadcast_if(won, hosts[0], hosts[1] + 64, limit), "host", "left")

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -91,36 +92,47 @@ def line_templates(tokens: list[str]) -> list[int]:
 _UNEVEN = ("  ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
 
-def parse(text: str) -> list[tuple[str, str, int | None, list[tuple[str, int | None]], int | None]]:
-    """For each line: itself, its generalised tokens joined by spaces, its leaf (None without tokens), its sentences with their templates (None if too short), and the template of a long line as a whole (else None)."""
+class Line(NamedTuple):
+    """A line, its generalised tokens joined by spaces, its leaf (None without tokens), its template as a whole (None unless long), its sentences, and the place and template of each that is long enough."""
+
+    text: str
+    low: str
+    leaf: int | None
+    whole: int | None
+    sentences: list[str]
+    signed: list[tuple[int, int]]
+
+
+def parse(text: str) -> list[Line]:
     digits, even, out = _digits_in(text), not any(map(text.__contains__, _UNEVEN)), []
+
+    def sign(s: str, some: bool) -> int | None:
+        x = s.strip() if even else " ".join(s.split())
+        n = x.count(" ") + 1
+        if n < LEAST_SENTENCE:
+            return None
+        if some and _digits_in(x):
+            x = " ".join(_generalised(x.split(" ")))
+        return _sign(SENTENCE, _need(n), x)
+
     for line in text.split("\n"):
         low = line.strip() if even else " ".join(line.split())
         if some := digits and _digits_in(low):
             low = " ".join(_generalised(low.split(" ")))
-        leaf = whole = None
-        if low:
-            n = low.count(" ") + 1
-            leaf = _sign(LEAF, _need(n) & 1, f"{n} {low if n <= LEADING else ' '.join(low.split(' ', LEADING)[:LEADING])}")
-            whole = _sign(LINE, 2, low) if n >= LONG else None
-        sentences = line.replace(". ", ".\0").replace("! ", "!\0").replace("? ", "?\0").split("\0") if line else []
-        signed = []
-        for s in sentences:
-            if s.count(" ") < LEAST_SENTENCE - 1:
-                signed.append((s, None))
-                continue
-            x = s.strip() if even else " ".join(s.split())
-            if some and _digits_in(x):
-                x = " ".join(_generalised(x.split(" ")))
-            n = x.count(" ") + 1
-            signed.append((s, _sign(SENTENCE, _need(n), x) if n >= LEAST_SENTENCE else None))
-        out.append((line, low, leaf, signed, whole))
+        if not low:
+            out.append(Line(line, low, None, None, [line], []))
+            continue
+        n = low.count(" ") + 1
+        leaf = _sign(LEAF, n < SHORT, f"{n} {low if n <= LEADING else ' '.join(low.split(' ', LEADING)[:LEADING])}")
+        sentences = line.replace(". ", ".\0").replace("! ", "!\0").replace("? ", "?\0").split("\0")
+        signed = [(j, t) for j, s in enumerate(sentences) if s.count(" ") >= LEAST_SENTENCE - 1 and (t := sign(s, some)) is not None]
+        out.append(Line(line, low, leaf, _sign(LINE, 2, low) if n >= LONG else None, sentences, signed))
     return out
 
 
-def keys_of(parsed: list) -> list[int]:
+def keys_of(parsed: list[Line]) -> list[int]:
     """Leaves, long lines and sentences, in order."""
-    return [k for _, _, leaf, sentences, whole in parsed for k in (leaf, whole, *(t for _, t in sentences)) if k is not None]
+    return [k for x in parsed for k in (x.leaf, x.whole, *(t for _, t in x.signed)) if k is not None]
 
 
 class BitSet:
@@ -145,27 +157,26 @@ class BitSet:
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def frequent(parsed: list, known: BitSet) -> list[tuple[int, int | None, list[int]]]:
+def frequent(parsed: list[Line], known: BitSet) -> list[tuple[int, int | None, list[int]]]:
     """(line, sentence or None, templates) of the units that may recur."""
     places, keys = [], []
-    for k, (_, _, leaf, sentences, whole) in enumerate(parsed):
-        if leaf is not None:
+    for k, x in enumerate(parsed):
+        if x.leaf is not None:
             places.append((k, None, False))
-            keys.append(leaf)
-        if whole is not None:
+            keys.append(x.leaf)
+        if x.whole is not None:
             places.append((k, None, True))
-            keys.append(whole)
-        for j, (_, t) in enumerate(sentences):
-            if t is not None:
-                places.append((k, j, True))
-                keys.append(t)
+            keys.append(x.whole)
+        for j, t in x.signed:
+            places.append((k, j, True))
+            keys.append(t)
     if not keys:
         return []
     found = np.flatnonzero(known.has(np.asarray(keys, np.int64) >> 2)).tolist()
-    return [(k, j, [keys[i]] if own else line_templates(parsed[k][1].split(" "))) for i in found for k, j, own in (places[i],)]
+    return [(k, j, [keys[i]] if own else line_templates(parsed[k].low.split(" "))) for i in found for k, j, own in (places[i],)]
 
 
-def remaining(parsed: list, units: list, gone: set[int]) -> tuple[str, int]:
+def remaining(parsed: list[Line], units: list, gone: set[int]) -> tuple[str, int]:
     """The text without units of templates that are ``gone``, and how many lines lost something."""
     lines: set[int] = set()
     inside: dict[int, set[int]] = {}
@@ -176,16 +187,16 @@ def remaining(parsed: list, units: list, gone: set[int]) -> tuple[str, int]:
             else:
                 inside.setdefault(k, set()).add(j)
     kept = []
-    for k, (line, _, _, sentences, _) in enumerate(parsed):
+    for k, x in enumerate(parsed):
         if k in lines:
             continue
         if k not in inside:
-            kept.append(line)
+            kept.append(x.text)
             continue
-        out = inside[k]
+        out, long = inside[k], {j for j, _ in x.signed}
         first, last = min(out), max(out)
         # Short sentences between two that are dropped belong to the same passage.
-        if rest := [s for j, (s, t) in enumerate(sentences) if not (j in out or (t is None and first < j < last))]:
+        if rest := [s for j, s in enumerate(x.sentences) if not (j in out or (j not in long and first < j < last))]:
             kept.append(" ".join(rest))
     return "\n".join(kept), len(lines | inside.keys())
 
@@ -207,9 +218,11 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 
 
 def _by_hash(text: str) -> list[tuple[int, str]]:
-    """The longer words of a text (all, if there is none) by their hashes."""
+    """The longer words of a text (all, if they are too few to fill the bins) by their hashes."""
     words = set(text.split())
-    some = [w for w in words if len(w) >= 6] or list(words)
+    some = [w for w in words if len(w) >= 8]
+    if len(some) < 4 * MINIMA:
+        some = list(words)
     if not some:
         return []
     hashes = _word_hashes(some)
@@ -255,7 +268,7 @@ def _unit_rows(text: str, known: BitSet) -> dict[int, int]:
     sketches: dict[tuple, int] = {}
     for k, j, templates in units:
         if (k, j) not in sketches:
-            sketches[k, j] = _sketch(words, set((parsed[k][0] if j is None else parsed[k][3][j][0]).split()))
+            sketches[k, j] = _sketch(words, set((parsed[k].text if j is None else parsed[k].sentences[j]).split()))
         out.update(dict.fromkeys(templates, sketches[k, j]))
     return out
 
@@ -330,7 +343,7 @@ def _known(docs: DataFrame):
     """The keys that stand in enough documents, not all of one text, as a broadcast bit set."""
     keys = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(_keys, "key long, h long").groupBy("key")
     often = keys.agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where((F.col("n") >= _least("key")) & (F.col("lo") < F.col("hi")))
-    return docs.sparkSession.sparkContext.broadcast(BitSet.of(cut(often.select("key")), F.shiftright("key", 2)))
+    return docs.sparkSession.sparkContext.broadcast(BitSet.of(cut(often.select("key"), few=True), F.shiftright("key", 2)))
 
 
 def _units_of(docs: DataFrame) -> tuple[DataFrame, object]:
@@ -368,7 +381,7 @@ def drop_recurring(docs: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped")
     units, known = _units_of(docs)
-    found = cut(recurring(units))
+    found = cut(recurring(units), few=True)
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_lines long", "n_dropped long"])
     n = found.count()
@@ -403,7 +416,7 @@ def drop_recurring(docs: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 
     # Other documents needn't be parsed again; a null id counts as 0.
     number = F.xxhash64(F.coalesce("doc_id", F.lit(0)))
-    touched = docs.sparkSession.sparkContext.broadcast(BitSet.of(cut(losing.select("doc_id").distinct()), number))
+    touched = docs.sparkSession.sparkContext.broadcast(BitSet.of(cut(losing.select("doc_id").distinct(), few=True), number))
     mark = free_name(docs, "_mark")
     rows = rows.withColumn(mark, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
 

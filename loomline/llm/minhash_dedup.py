@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, limit: i
         named.join(classes, "text_key")
         .where("doc_id = rep")
         .select(F.col("doc_id").alias("doc"), "text_key", F.col("n_shingles").alias("n"), "sig", "bands")
-        .dropDuplicates(["doc", "text_key"])
+        .dropDuplicates(["doc", "text_key"]),
+        few=True,
     )
     return _label(sketch, classes, link(reps, docs, percent, width, limit))
 
@@ -232,9 +233,9 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, limit: int = BR
     if rows != ids or ids != distinct:
         name = free_name(docs, "_row")
         docs, ident = cut(docs.withColumn(name, F.monotonically_increasing_id())), F.col(name)
-    result = cut(near_duplicates(docs.select(ident.alias("doc_id"), "text"), percent, width, limit))
+    result = near_duplicates(docs.select(ident.alias("doc_id"), "text"), percent, width, limit)
     gone = free_name(docs, "_gone")
-    copies = result.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    copies = cut(result.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), few=True)
     left = docs.join(broadcast_if(copies, copies.count(), 16, limit), ident == F.col(gone), "left_anti")
     return left.drop(name) if name else left
 
@@ -249,14 +250,14 @@ def link(reps: DataFrame, docs: DataFrame, percent: int, width: int, limit: int
     """
     rows = reps.select("doc", F.explode("bands").alias("band"))
     counted = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(rows.join(counted, "band"))
+    shared = cut(rows.join(counted, "band"), few=True)
     standing = shared.groupBy("doc").agg(F.sum("size").alias("pop"))
     shared = shared.join(standing, "doc").select("band", "doc", "pop")
     hubs = shared.groupBy("band").agg(F.max_by("doc", F.struct("pop", -F.col("doc"))).alias("hub"))
-    members = cut(shared.join(hubs, "band").where("doc <> hub").select("doc", "hub").distinct())
+    members = cut(shared.join(hubs, "band").where("doc <> hub").select("doc", "hub").distinct(), few=True)
     side = reps.select("doc", "n", "sig")
     found = confirm(candidates(members.toDF("a", "b"), side, percent), docs, percent, width, limit)
-    near = cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")))
+    near = cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")), few=True)
     hop = near.select("a", F.least("a", "b").alias("b"))
     label = hop.join(hop.toDF("b", "c"), "b", "left").select(F.col("a").alias("doc"), F.least("b", "c").alias("label"))
     more = confirm(candidates(remainder(members, label, docs, percent, width, limit), side, percent), docs, percent, width, limit)
@@ -276,7 +277,7 @@ def remainder(members: DataFrame, label: DataFrame, docs: DataFrame, percent: in
     """
     labelled = members.join(label, "doc", "left").select("doc", "hub", F.coalesce("label", "doc").alias("label"))
     mixed = labelled.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub")
-    left = cut(labelled.join(mixed, "hub"))
+    left = cut(labelled.join(mixed, "hub"), few=True)
     sets = shingles(left.select(F.col("doc").alias("doc_id")).unionByName(left.select(F.col("hub").alias("doc_id"))), docs, width, limit)
     pair = left.join(sets.toDF("doc", "own"), "doc").join(sets.toDF("hub", "base"), "hub")
     differs = pair.select(
@@ -284,7 +285,7 @@ def remainder(members: DataFrame, label: DataFrame, docs: DataFrame, percent: in
     )
     # The longest prefix that any partner may need: partners are at most 100 / percent as long.
     most = F.floor((100 - percent) * F.col("n") / percent) + 2
-    tokens = cut(differs.select("doc", "hub", "label", "n", F.size("d").alias("k"), F.posexplode(F.slice("d", F.lit(1), most.cast("int"))).alias("pos", "token")))
+    tokens = cut(differs.select("doc", "hub", "label", "n", F.size("d").alias("k"), F.posexplode(F.slice("d", F.lit(1), most.cast("int"))).alias("pos", "token")), few=True)
     x, y = tokens.toDF("a", "hub", "la", "na", "ka", "pa", "token"), tokens.toDF("b", "hub_", "lb", "nb", "kb", "pb", "token_")
     allowed = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     fits = (
@@ -311,15 +312,15 @@ def candidates(pairs: DataFrame, side: DataFrame, percent: int) -> DataFrame:
 
 def shingles(ids: DataFrame, docs: DataFrame, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc, shingles) of the documents with ``ids(doc_id)``; sets are made anew from the texts, and kept once."""
-    ids = cut(ids.distinct())
+    ids = ids.distinct()
     # Texts are shuffled only where the ids are too many to be sent to them.
     made = docs.join(broadcast_if(ids, ids.count(), 16, limit), "doc_id", "left_semi").mapInArrow(_setter(width), "doc long, shingles array<long>")
-    return cut(made)
+    return cut(made, few=True)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Those of ``pairs(a, b, na, nb)`` that link on their full shingle sets."""
-    pairs = cut(pairs)
+    pairs = cut(pairs, few=True)
     sets = shingles(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, width, limit)
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -328,5 +329,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int, limit:
         .join(b, "b")
         .withColumn("common", common)
         .where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common")))
-        .select("a", "b")
+        .select("a", "b"),
+        few=True,
     )

@@ -349,9 +349,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, per_roun
     )
     order = F.xxhash64("doc_id", F.lit(11))
     # At most ``labelled`` rows of two numbers: 16 bytes each.
-    some = F.broadcast(cut(told.orderBy(order, "doc_id").limit(labelled)))
+    some = F.broadcast(cut(told.orderBy(order, "doc_id").limit(labelled), few=True))
     one = plain.join(some, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*_COLUMNS[1:])).alias("r")).select("doc_id", "y", "r.*")
-    sample = cut(one.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(PARTS)).cast("int")))
+    sample = cut(one.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(PARTS)).cast("int")), few=True)
     words = vocabulary(sample.where(F.col("part").isin(*TRAIN)))
     table = _reduced(sample, words, "y", "part").orderBy("doc_id").toArrow()
     if not len(table):
