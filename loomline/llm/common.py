@@ -37,12 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint.
 
-    With ``few``, for what is small against the corpus, it gets two files for each core
-    at most instead of one for each shuffle partition.
+    With ``few``, for what is small against the corpus, it gets one file for eight
+    shuffle partitions (their number follows the corpus), or two for each core.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
     if few:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint(eager=True)
 
 
