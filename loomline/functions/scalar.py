@@ -22,6 +22,11 @@ def node_key(rule: Column, fingerprint: Column, filename: Column, output_name: C
     return F.concat_ws("/", rule, fingerprint, F.coalesce(filename, output_name, F.lit("output")))
 
 
+def display_label(label: Column, output_name: Column, kind: Column) -> Column:
+    """What a node is shown as: its label, its output's name, its type, or ``output``."""
+    return F.coalesce(label, output_name, kind, F.lit("output"))
+
+
 def path_fits(path: Column, name_max: int = 255, path_max: int = 4096) -> Column:
     """Whether a path and each of its parts are within byte limits."""
     return (F.octet_length(path) <= path_max) & ~F.exists(F.split(path, "/"), lambda p: F.octet_length(p) > name_max)
@@ -50,7 +55,42 @@ def pascal_to_snake(name: Column) -> Column:
 
 def sanitize(text: Column) -> Column:
     """A text as part of a file name."""
-    return F.replace(F.replace(F.translate(text, " /:\\?\"<>|,;=", "____________"), F.lit("."), F.lit("p")), F.lit("*"), F.lit("star"))
+    one = {c: x for c, x in words.IN_NAMES.items() if len(x) == 1}
+    gone = "".join(c for c, x in words.IN_NAMES.items() if not x)
+    out = F.translate(text, "".join(one) + gone, "".join(one.values()))
+    for c, x in words.IN_NAMES.items():
+        if len(x) > 1:
+            out = F.replace(out, F.lit(c), F.lit(x))
+    return out
+
+
+def contract(*types: Column) -> Column:
+    """The name of a union of types: its members, sorted."""
+    return F.array_join(F.array_sort(F.array(*types)), "|")
+
+
+def content_hash(content: Column) -> Column:
+    """SHA-256 of a text or of bytes, in hexadecimal digits."""
+    return F.sha2(content, 256)
+
+
+def byte_count(text: Column) -> Column:
+    return F.octet_length(text).cast("long")
+
+
+def line_count(text: Column) -> Column:
+    """Line ends of a text."""
+    return F.regexp_count(text, F.lit("\n")).cast("long")
+
+
+def sorted_characters(text: Column) -> Column:
+    """The characters of all lines, sorted by code point, as one text."""
+    return F.array_join(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "\n")), "")
+
+
+def json_get(text: Column, field: str) -> Column:
+    """The value at a dotted field of a JSON object, as text; null if it isn't there."""
+    return F.get_json_object(text, "$." + field)
 
 
 def ascii_upper(text: Column) -> Column:

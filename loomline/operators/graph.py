@@ -1,24 +1,33 @@
 """Graph operators over ``edges(child, parent)``: frontier loops with reliable checkpoints.
 
-Loops end when a round adds nothing; depth, not size, sets the number of rounds.  A
-graph of thousands of nodes is quicker on the driver (``loomline.plans``); these serve
-queries and very large graphs.
+A loop computes its edges once and writes one small checkpoint a round, from which it
+also learns whether to go on; depth, not size, sets the number of rounds.  A graph of
+thousands of nodes is quicker on the driver (``loomline.plans``); these serve queries
+and very large graphs.
 """
 
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rounds whose results are kept side by side before they are written as one.
+ROUNDS_APART = 8
+
 
 def _cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, with one file for eight shuffle partitions or one for each core."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomline-"))
+    return df.coalesce(max(sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)).checkpoint(eager=True)
 
 
 def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,13 +37,18 @@ def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
     """``start(key)`` and all ancestors."""
-    seen = frontier = _cut(start.select("key").distinct())
+    edges = _cut(edges.select("child", "parent"))
+    frontier = _cut(start.select("key").distinct())
+    rounds = [frontier]
     while True:
+        seen = reduce(DataFrame.union, rounds)
         reached = edges.join(frontier, edges["child"] == frontier["key"]).select(F.col("parent").alias("key")).distinct()
         frontier = _cut(reached.join(seen, "key", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.unionByName(frontier))
+        if not frontier.count():
+            return seen if len(rounds) == 1 else _cut(seen)
+        rounds.append(frontier)
+        if len(rounds) > ROUNDS_APART:
+            rounds = [_cut(reduce(DataFrame.union, rounds))]
 
 
 def descendants(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,20 +57,32 @@ def descendants(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, level): longest distance from a source.  A cycle is an error."""
-    level = _cut(nodes.select("key", F.lit(0).alias("level")))
-    bound = nodes.count()
-    for _ in range(bound + 1):
-        pushed = edges.join(level, edges["parent"] == level["key"]).groupBy(F.col("child").alias("key")).agg((F.max("level") + 1).alias("up"))
-        new = _cut(level.join(pushed, "key", "left").select("key", F.greatest("level", F.coalesce("up", "level")).alias("level"), (F.col("up") > F.col("level")).alias("moved")))
-        level = new.select("key", "level")
-        if new.where("moved").isEmpty():
-            return level
-    raise ValueError("the graph has a cycle")
+    """(key, level): longest distance from a source.  A cycle is an error.
+
+    Each round takes off the nodes that have no parent left; a round that takes off
+    none has met a cycle.
+    """
+    left = _cut(nodes.select("key").distinct())
+    keys = left
+    edges = _cut(edges.select("child", "parent").join(keys.toDF("parent"), "parent", "left_semi").where("child <> parent").unionByName(edges.where("child = parent").select("child", "parent")))
+    n, level, rounds = left.count(), 0, []
+    while n:
+        held = edges.join(left, edges["parent"] == left["key"], "left_semi").select(F.col("child").alias("key")).distinct().withColumn("held", F.lit(True))
+        split = _cut(left.join(held, "key", "left"))
+        rounds.append(split.where("held is null").select("key", F.lit(level).alias("level")))
+        left = split.where("held").select("key")
+        before, n = n, left.count()
+        if n == before:
+            raise ValueError("the graph has a cycle")
+        level += 1
+        if len(rounds) > ROUNDS_APART:
+            rounds = [_cut(reduce(DataFrame.union, rounds))]
+    return _cut(reduce(DataFrame.union, rounds)) if rounds else keys.select("key", F.lit(0).alias("level"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable, edges taken both ways."""
+    edges = _cut(edges.select("child", "parent"))
     both = edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")))
     label = _cut(nodes.select("key", F.col("key").alias("component")))
     while True:
@@ -76,22 +102,25 @@ def classify(nodes: DataFrame, edges: DataFrame, required: DataFrame) -> DataFra
     exist; STALE if a parent is newer with changed content, the token has changed, or
     any ancestor inside is MISSING or STALE; else UP_TO_DATE.
     """
+    edges = _cut(edges.select("child", "parent"))
     active = closure(required, edges)
     inside = nodes.join(active, "key", "left_semi")
+    within = _cut(edges.join(active.toDF("child"), "child", "left_semi"))
     parent = inside.select(F.col("key").alias("parent"), F.col("mtime").alias("p_mtime"), F.col("changed").alias("p_changed"))
     own = inside.select(F.col("key").alias("child"), "mtime")
-    newer = edges.join(own, "child").join(parent, "parent").where((F.col("p_mtime") > F.col("mtime")) & F.col("p_changed")).select(F.col("child").alias("key")).distinct()
-    seed = inside.where(~F.col("exists") | F.col("token_changed")).select("key").unionByName(newer).distinct()
-    within = edges.join(active.select(F.col("key").alias("child")), "child", "left_semi")
-    stale = descendants(seed, within).withColumn("stale", F.lit(True))
-    joined = nodes.join(active.withColumn("active", F.lit(True)), "key", "left").join(stale, "key", "left")
+    newer = within.join(own, "child").join(parent, "parent").where((F.col("p_mtime") > F.col("mtime")) & F.col("p_changed")).select(F.col("child").alias("key"))
+    seed = inside.where(~F.col("exists") | F.col("token_changed")).select("key").unionByName(newer)
+    stale = descendants(seed, within)
+    # A node is in neither, one or both: one aggregate instead of two joins.
+    marks = active.select("key", F.lit(1).alias("mark")).unionByName(stale.select("key", F.lit(2).alias("mark")))
+    marked = _cut(marks.groupBy("key").agg(F.sum("mark").alias("mark")))
     state = (
-        F.when(F.col("active").isNull(), F.when(F.col("exists"), F.lit("ORPHAN")))
+        F.when(F.col("mark").isNull(), F.when(F.col("exists"), F.lit("ORPHAN")))
         .when(~F.col("exists"), F.lit("MISSING"))
-        .when(F.col("stale"), F.lit("STALE"))
+        .when(F.col("mark") == 3, F.lit("STALE"))
         .otherwise(F.lit("UP_TO_DATE"))
     )
-    return joined.select("key", state.alias("state"))
+    return nodes.join(marked, "key", "left").select("key", state.alias("state"))
 
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

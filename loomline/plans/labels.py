@@ -9,7 +9,9 @@ from difflib import SequenceMatcher
 from typing import Any
 
 LABEL_MAX, CUT_AT = 250, 241
-_UNSAFE = str.maketrans({c: "_" for c in ' /:\\?"<>|,;='} | {".": "p", "*": "star"})
+#: What characters become in file names.
+IN_NAMES = {"[": "", "]": "", " ": "", ",": "-", ".": "p", "/": "_", "\\": "_", ":": "_", "*": "star", "?": "", '"': "", "<": "", ">": "", "|": "_"}
+_UNSAFE = str.maketrans(IN_NAMES)
 
 
 def safe(text: str) -> str:

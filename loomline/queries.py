@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import graph, states
+from .functions import spectra
+from .operators import graph, runs, states, tables
 from .plans import grid
+from .sources.files import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,17 +34,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def both(name: str, sql: str, spark_sql: str | None = None) -> None:
-    """A query in SQL that both engines read; ``{table}`` names a table."""
-    tables = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations") if "{" + t + "}" in sql]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_sql or sql, **{t: table(spark, sf_dir, t) for t in tables})
-
-    QUERIES[name] = run
-    ORACLES[name] = sql.format(**{t: t for t in tables})
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,17 +55,18 @@ def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, sum(length(text)) AS chars FROM documents")
 def src_scan_external(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return scan(spark, f"{sf_dir}/documents.parquet").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT source, max(n_chars) AS mtime FROM documents GROUP BY source")
+@query("SELECT DISTINCT source, first_value(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC) AS mtime FROM documents")
 def store_mtime_max(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("mtime"))
+    return tables.newest(table(spark, sf_dir, "documents"), "source", "n_chars")
 
 
-@query("SELECT source, sum(n_chars)::BIGINT AS size FROM documents WHERE lang <> 'de' GROUP BY source")
+@query("SELECT source, coalesce(sum(n_chars) FILTER (WHERE lang <> 'de'), 0)::BIGINT AS size FROM documents GROUP BY source HAVING count(*) FILTER (WHERE lang <> 'de') > 0")
 def output_size_sum(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang <> 'de'").groupBy("source").agg(F.sum("n_chars").alias("size"))
+    files = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.when(F.col("lang") == "de", ".meta/").otherwise("data/"), F.col("doc_id").cast("string")))
+    return tables.output_sizes(files, "source", "path", "n_chars")
 
 
 @query("SELECT o_orderkey, concat_ws('/', o_orderstatus, substr(sha256(o_orderpriority), 1, 16), coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'f' END, CASE WHEN o_orderkey % 3 = 1 THEN 'o' END, 'output')) AS node_key FROM orders")
@@ -107,14 +99,14 @@ def pascal_to_snake(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_type", S.pascal_to_snake(F.col("p_type")).alias("snake")).distinct()
 
 
-@query("SELECT event_id, replace(replace(translate(props, ' /:\\?\"<>|,;=', '____________'), '.', 'p'), '*', 'star') AS label FROM events")
+@query(r"""SELECT event_id, replace(replace(replace(regexp_replace(regexp_replace('[1, 2.5] a/b\c:*?<x>|=;' || props, '[][ ?"<>]', '', 'g'), '[/\\:|]', '_', 'g'), ',', '-'), '.', 'p'), '*', 'star') AS label FROM events""")
 def sanitize_label(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", S.sanitize(F.col("props")).alias("label"))
+    return table(spark, sf_dir, "events").select("event_id", S.sanitize(F.concat(F.lit(r"[1, 2.5] a/b\c:*?<x>|=;"), "props")).alias("label"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_get_path(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", S.json_get(F.col("props"), "k").cast("long").alias("k"))
 
 
 def _text(name: str, column, oracle: str) -> None:
@@ -127,39 +119,21 @@ _text("text_lower_ascii", lambda: S.ascii_lower(F.col("text")), f"translate(text
 _text("text_rot13", lambda: S.rot13(F.col("text")), f"translate(text, '{S.UPPER}{S.LOWER}', '{S.UPPER[13:]}{S.UPPER[:13]}{S.LOWER[13:]}{S.LOWER[:13]}')")
 _text("text_reverse_lines", lambda: S.reverse_lines(F.col("text")), "array_to_string(list_transform(string_split(text, chr(10)), lambda x: reverse(x)), chr(10))")
 
-both("grid_cross_product", "SELECT r_name, o_orderpriority, c_mktsegment FROM {region} CROSS JOIN (SELECT DISTINCT o_orderpriority FROM {orders}) a CROSS JOIN (SELECT DISTINCT c_mktsegment FROM {customer}) b")
-both("recal_filter", "SELECT l_orderkey, l_partkey, l_suppkey FROM {lineitem} WHERE l_linenumber = 1 AND l_discount <= 0.05")
-both("recal_fit", "SELECT median(l_quantity) AS offset_q, min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem} WHERE l_linenumber = 1 AND l_discount <= 0.05")
-both("state_counts", "SELECT o_orderstatus AS state, count(*) AS n FROM {orders} GROUP BY o_orderstatus")
-both("resource_usage", "SELECT l_returnflag AS resource, CAST(sum(l_quantity) AS BIGINT) AS used, 1000000 - CAST(sum(l_quantity) AS BIGINT) AS available FROM {lineitem} GROUP BY l_returnflag")
-both("resolve_labels", "SELECT r.r_name AS label, n.n_name AS node FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey")
-both("compromised_filter", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus IN ('F', 'P')")
-both("invalidation_filter", "SELECT p_partkey FROM {part} WHERE p_brand IS NOT NULL AND p_brand IS DISTINCT FROM CASE WHEN p_size % 5 <> 0 THEN p_brand END")
-both("admission_prefix", "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS used FROM {part}) x WHERE used <= 500")
-both("schedule_order_fifo", "SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS place FROM {part}")
-both("section_agreement", "SELECT p_brand, CASE WHEN count(DISTINCT coalesce(p_type, '~')) = 1 THEN min(p_type) END AS section FROM {part} GROUP BY p_brand")
-both("adjacent_dedup", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) x WHERE before IS DISTINCT FROM role")
-both("line_sort", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY text, turn) AS place FROM {conversations}")
-both("union_all_ordered", "SELECT 1 AS part, r_name AS name FROM {region} UNION ALL SELECT 2 AS part, n_name AS name FROM {nation}")
-both("zip_lines", "SELECT coalesce(a.k, b.k) AS k, a.r_name, b.n_name FROM (SELECT r_regionkey AS k, r_name FROM {region}) a FULL OUTER JOIN (SELECT n_nationkey AS k, n_name FROM {nation}) b ON a.k = b.k")
-both("rule_call_groups", "SELECT p_type, p_brand, bool_or(p_size > 40) AS any_large, max(p_size) AS threads, count(*) AS n FROM {part} GROUP BY p_type, p_brand")
 
 
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS lines FROM documents")
 def text_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.regexp_count("text", F.lit("\n")).cast("long").alias("lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.byte_count(F.col("text")).alias("bytes"), S.line_count(F.col("text")).alias("lines"))
 
 
 @query("SELECT vec_id, i FROM (SELECT vec_id, unnest(range(1, 1 + label % 4)) AS i FROM embeddings)")
 def repeat_rows(spark, sf_dir):
-    some = table(spark, sf_dir, "embeddings").where("label % 4 > 0")
-    return some.select("vec_id", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("label") % 4).cast("long"))).alias("i"))
+    return tables.repeated(table(spark, sf_dir, "embeddings"), F.col("label") % 4, "i").select("vec_id", "i")
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings ORDER BY list_sum(list_transform(embedding, lambda x: x::DOUBLE)) DESC, vec_id LIMIT 20")
+@query("SELECT vec_id, round(total, 4) AS total FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS total FROM embeddings) x QUALIFY row_number() OVER (ORDER BY total DESC, vec_id) <= 20")
 def topk_by_array_sum(spark, sf_dir):
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", total.alias("t")).orderBy(F.desc("t"), "vec_id").limit(20).select("vec_id", F.round("t", 4).alias("total"))
+    return tables.top_by_sum(table(spark, sf_dir, "embeddings"), "embedding", 20, "vec_id").select("vec_id", F.round("total", 4).alias("total"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / (1 + 5 * 1e-6))), 6) AS total FROM embeddings")
@@ -168,9 +142,9 @@ def recal_apply(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(moved, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("SELECT vec_id, len(list_filter(embedding, lambda x: x >= 0.01 * list_max(embedding)))::BIGINT AS n FROM embeddings")
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x >= 0 AND x >= 0.01 * list_max(embedding)))::BIGINT AS n FROM embeddings")
 def array_rel_threshold(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.filter("embedding", lambda x: x >= 0.01 * F.array_max("embedding"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(spectra.above_share(F.col("embedding"))).cast("long").alias("n"))
 
 
 @query(f"SELECT key FROM {NODES} n WHERE key NOT IN (SELECT parent FROM {EDGES} e)")
@@ -180,8 +154,7 @@ def dag_sinks(spark, sf_dir):
 
 @query(f"WITH s AS (SELECT key FROM {NODES} n WHERE mtime <= 25) SELECT child, parent FROM {EDGES} e WHERE child IN (FROM s) AND parent IN (FROM s)")
 def graph_edges(spark, sf_dir):
-    some = nodes(spark, sf_dir).where("mtime <= 25").select("key")
-    return edges(spark, sf_dir).join(some.toDF("child"), "child", "left_semi").join(some.toDF("parent"), "parent", "left_semi").select("child", "parent")
+    return runs.inner_edges(edges(spark, sf_dir), nodes(spark, sf_dir).where("mtime <= 25").select("key"))
 
 
 _CLOSURE = f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, c AS (SELECT p_partkey AS key FROM part WHERE p_partkey >= 1 AND p_size = 7 UNION SELECT e.parent FROM c JOIN e ON e.child = c.key)"
@@ -192,9 +165,9 @@ def dag_required_closure(spark, sf_dir):
     return graph.closure(requested(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, c AS (SELECT 1999::BIGINT AS key UNION SELECT e.parent FROM c JOIN e ON e.child = c.key) SELECT key FROM c")
+@query(f"WITH RECURSIVE e AS MATERIALIZED {EDGES}, c AS (SELECT max(p_partkey) AS key FROM part UNION SELECT e.parent FROM c JOIN e ON e.child = c.key) SELECT key FROM c")
 def dag_ancestors(spark, sf_dir):
-    return graph.closure(spark.createDataFrame([(1999,)], "key long"), edges(spark, sf_dir))
+    return graph.closure(nodes(spark, sf_dir).agg(F.max("key").alias("key")), edges(spark, sf_dir))
 
 
 @query("SELECT p_partkey AS key, floor(log2(p_partkey))::INT AS level FROM part WHERE p_partkey >= 1")
@@ -235,16 +208,15 @@ def dag_dedup_first_wins(spark, sf_dir):
     return graph.first_wins(table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_size"), "p_type", ["p_size", "p_partkey"])
 
 
-@query("SELECT p_partkey, array_to_string(list_sort([p_brand, p_type]), '|') AS contract FROM part")
+@query("SELECT p_partkey, least(p_brand, p_type) || '|' || greatest(p_brand, p_type) AS contract FROM part")
 def type_contract(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.array("p_brand", "p_type")), "|").alias("contract"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.contract(F.col("p_brand"), F.col("p_type")).alias("contract"))
 
 
 @query(f"SELECT e.child, e.parent, x.l::INT AS layer FROM {EDGES} e, unnest(range(floor(log2(parent))::BIGINT + 1, floor(log2(child))::BIGINT)) AS x(l) WHERE parent >= 1")
 def edge_span_expand(spark, sf_dir):
-    level = lambda c: F.floor(F.log2(c)).cast("int")
-    found = edges(spark, sf_dir).where("parent >= 1").select("child", "parent", level(F.col("parent")).alias("p"), level(F.col("child")).alias("c")).where("c - p > 1")
-    return found.select("child", "parent", F.explode(F.sequence(F.col("p") + 1, F.col("c") - 1)).alias("layer"))
+    level = nodes(spark, sf_dir).select("key", F.floor(F.log2("key")).cast("int").alias("level"))
+    return runs.skipped_layers(edges(spark, sf_dir), level)
 
 
 #: Nodes with a call and a state of their own, for both engines.
@@ -315,20 +287,22 @@ def type_violations(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT source, sha256(string_agg('d/' || doc_id || chr(0) || sha256(text), chr(0) ORDER BY 'd/' || doc_id)) AS digest FROM documents WHERE lang <> 'de' GROUP BY source")
+def directory_digest(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(
+        "source", F.concat(F.when(F.col("lang") == "de", "_meta/").otherwise("d/"), F.col("doc_id").cast("string")).alias("path"), S.content_hash(F.col("text")).alias("sha")
+    )
+    return tables.directory_digests(files, "source", "path", "sha")
 
 
 @query("SELECT conv_id, array_to_string(list(role ORDER BY turn), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2) x GROUP BY conv_id")
 def ordered_distinct(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn"))
-    # One entry for each role: the list is as long as there are roles.
-    kept = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return first.groupBy("conv_id").agg(F.array_join(F.transform(kept, lambda x: x["role"]), ",").alias("roles"))
+    return tables.distinct_in_order(table(spark, sf_dir, "conversations"), "role", "turn", "conv_id", "roles")
 
 
-both("exec_summary", "SELECT o.o_orderkey, o.o_orderstatus AS state, count(*) AS n_outputs, CAST(sum(l.l_quantity) AS BIGINT) AS size FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderstatus")
-both("config_patch", "SELECT coalesce(a.c_custkey, b.s_suppkey) AS k, coalesce(b.s_name, a.c_name) AS v FROM {customer} a FULL OUTER JOIN {supplier} b ON a.c_custkey = b.s_suppkey")
-both("head_n", "SELECT event_id, user_id FROM {events} ORDER BY user_id, event_id LIMIT 100")
 
 _TREE = "(SELECT p_partkey AS key, p_partkey // 2 AS parent, p_brand AS name, p_size AS value FROM part WHERE p_partkey >= 1)"
 
@@ -358,7 +332,7 @@ def fingerprint_lineage(spark, sf_dir):
     return graph.fingerprints(settings, up, "name")
 
 
-_TAIL = "'name+' || translate(repeat(p_name, 1 + p_size % 20), ' ', '_') || '__price+' || replace(p_size::DOUBLE::VARCHAR, '.', 'p')"
+_TAIL = "'name+' || replace(repeat(p_name, 1 + p_size % 20), ' ', '') || '__price+' || replace(p_size::DOUBLE::VARCHAR, '.', 'p')"
 
 
 @query(
@@ -400,8 +374,7 @@ def json_set_path(spark, sf_dir):
 
 @query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(string_split(text, ''), lambda c: c <> chr(10))), '') AS chars FROM conversations")
 def char_explode_sort(spark, sf_dir):
-    letters = F.filter(F.split("text", ""), lambda c: c != "\n")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(letters), "").alias("chars"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.sorted_characters(F.col("text")).alias("chars"))
 
 
 @query("SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(len(embedding)), lambda i: {'v': embedding[i + 1], 'i': i})), lambda x: x.i), ',') AS places FROM embeddings")
@@ -420,4 +393,142 @@ def token_diff(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.token_diff("p_type", "p_name").alias("words"))
 
 
-both("schedule_order", "SELECT p_partkey, size, row_number() OVER (PARTITION BY size ORDER BY p_partkey) AS place FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_type, p_brand) AS size FROM {part}) x")
+@query("SELECT r_name, o_orderpriority, c_mktsegment FROM region JOIN (SELECT o_orderpriority FROM orders GROUP BY 1) a ON true JOIN (SELECT c_mktsegment FROM customer GROUP BY 1) b ON true")
+def grid_cross_product(spark, sf_dir):
+    axes = (("region", "r_name"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment"))
+    return grid.cross([table(spark, sf_dir, t).select(c).distinct() for t, c in axes])
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.confident(table(spark, sf_dir, "lineitem"), 0.05, "l_linenumber", "l_discount")
+
+
+_MATCHES = "(SELECT * FROM lineitem WHERE NOT (l_linenumber <> 1 OR l_discount > 0.05))"
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_suppkey FROM {_MATCHES} m")
+def recal_filter(spark, sf_dir):
+    return matches(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query(
+    f"""WITH m AS {_MATCHES}, o AS (SELECT median(l_extendedprice) AS o FROM m)
+SELECT o AS ppm_offset, list_min(list(l_extendedprice - o)) AS precursor_lo, list_max(list(l_extendedprice - o)) AS precursor_hi, list_min(list(l_quantity - o)) AS fragment_lo, list_max(list(l_quantity - o)) AS fragment_hi FROM m, o GROUP BY o"""
+)
+def recal_fit(spark, sf_dir):
+    return spectra.fit_recalibration(matches(spark, sf_dir), "l_extendedprice", "l_quantity")
+
+
+@query("SELECT * FROM (SELECT unnest(['F', 'O', 'P']) AS state, unnest([count_if(o_orderstatus = 'F'), count_if(o_orderstatus = 'O'), count_if(o_orderstatus = 'P')])::BIGINT AS n FROM orders) x WHERE n > 0")
+def state_counts(spark, sf_dir):
+    return runs.state_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("state")))
+
+
+@query("SELECT r AS resource, coalesce((SELECT sum(l_quantity) FROM lineitem WHERE l_returnflag = r), 0)::BIGINT AS used, (c - coalesce((SELECT sum(l_quantity) FROM lineitem WHERE l_returnflag = r), 0))::BIGINT AS available FROM (VALUES ('A', 9000000), ('N', 80000000), ('gpu', 4)) v(r, c)")
+def resource_usage(spark, sf_dir):
+    caps = spark.createDataFrame([("A", 9000000), ("N", 80000000), ("gpu", 4)], "resource string, cap long")
+    return runs.resource_usage(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("resource"), F.col("l_quantity").cast("long").alias("amount")), caps)
+
+
+@query("SELECT r_name AS label, n_name AS node FROM nation, region WHERE n_regionkey = r_regionkey AND r_name IN ('ASIA', 'EUROPE')")
+def resolve_labels(spark, sf_dir):
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    nodes = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(F.col("r_name").alias("label"), F.col("n_name").alias("node"))
+    return runs.resolve(spark.createDataFrame([("ASIA",), ("EUROPE",), ("ASIA",)], "label string"), nodes)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'")
+def compromised_filter(spark, sf_dir):
+    state = F.create_map(F.lit("F"), F.lit("failed"), F.lit("P"), F.lit("running"), F.lit("O"), F.lit("up_to_date"))
+    return table(spark, sf_dir, "orders").where(runs.compromised(F.try_element_at(state, F.col("o_orderstatus")))).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 5 = 0 OR (p_size % 3 = 0 AND p_type <> p_brand)")
+def invalidation_filter(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    recorded = F.when(F.col("p_size") % 5 != 0, F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")))
+    return part.where(runs.invalidated(F.col("p_brand"), recorded)).select("p_partkey")
+
+
+@query(
+    """WITH RECURSIVE r AS MATERIALIZED (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+g AS (SELECT p_brand, p_partkey, k, p_size::BIGINT AS used, true AS taken FROM r WHERE k = 1
+UNION ALL SELECT r.p_brand, r.p_partkey, r.k, g.used + CASE WHEN g.used + r.p_size <= 500 THEN r.p_size ELSE 0 END, g.used + r.p_size <= 500 FROM g JOIN r ON r.p_brand = g.p_brand AND r.k = g.k + 1)
+SELECT p_partkey FROM g WHERE taken"""
+)
+def admission_prefix(spark, sf_dir):
+    return runs.admitted(table(spark, sf_dir, "part"), 500, "p_brand", "p_partkey", "p_size").select("p_partkey")
+
+
+@query("SELECT a.p_type, a.p_partkey, count(*)::INT AS place FROM part a JOIN part b ON a.p_type = b.p_type AND b.p_partkey <= a.p_partkey GROUP BY ALL")
+def schedule_order_fifo(spark, sf_dir):
+    return runs.schedule(table(spark, sf_dir, "part"), "p_type", "p_partkey").select("p_type", "p_partkey", "place")
+
+
+@query(
+    """WITH s AS MATERIALIZED (SELECT p_type, p_brand, count(*) AS size FROM part GROUP BY ALL), p AS MATERIALIZED (SELECT p_type, p_partkey, size FROM part JOIN s USING (p_type, p_brand))
+SELECT a.p_partkey, a.size, count(*)::INT AS place FROM p a JOIN p b ON a.p_type = b.p_type AND (b.size < a.size OR (b.size = a.size AND b.p_partkey <= a.p_partkey)) GROUP BY ALL"""
+)
+def schedule_order(spark, sf_dir):
+    return runs.schedule(table(spark, sf_dir, "part"), "p_type", "p_partkey", "p_brand").select("p_partkey", "size", "place")
+
+
+@query("SELECT p_name AS node, CASE WHEN count(DISTINCT p_type) = 1 AND bool_and(p_type IS NOT NULL) THEN any_value(p_type) END AS section FROM (SELECT p_name, CASE WHEN p_size > 2 THEN p_type END AS p_type FROM part WHERE p_size < 9) x GROUP BY p_name")
+def section_agreement(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where("p_size < 9").select(F.col("p_name").alias("node"), F.when(F.col("p_size") > 2, F.col("p_type")).alias("section"))
+    return runs.agreed_sections(rows)
+
+
+@query("SELECT conv_id, turn, role FROM conversations c WHERE role IS DISTINCT FROM (SELECT role FROM conversations b WHERE b.conv_id = c.conv_id AND b.turn < c.turn ORDER BY b.turn DESC LIMIT 1)")
+def adjacent_dedup(spark, sf_dir):
+    return tables.adjacent_distinct(table(spark, sf_dir, "conversations"), "role", ["turn"], ["conv_id"]).select("conv_id", "turn", "role")
+
+
+@query("SELECT a.conv_id, a.turn, count(*)::INT AS place FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND (b.text < a.text OR (b.text = a.text AND b.turn <= a.turn)) GROUP BY ALL")
+def line_sort(spark, sf_dir):
+    return tables.placed(table(spark, sf_dir, "conversations"), ["text", "turn"], ["conv_id"]).select("conv_id", "turn", "place")
+
+
+@query("SELECT x.part, CASE x.part WHEN 1 THEN r_name ELSE n_name END AS name FROM region FULL JOIN nation ON false, LATERAL (SELECT CASE WHEN r_name IS NOT NULL THEN 1 ELSE 2 END::INT AS part) x")
+def union_all_ordered(spark, sf_dir):
+    return tables.concatenated([table(spark, sf_dir, t).select(F.col(c).alias("name")) for t, c in (("region", "r_name"), ("nation", "n_name"))])
+
+
+@query("SELECT n_nationkey AS k, coalesce((SELECT r_name FROM region WHERE r_regionkey = n_nationkey), '') AS r_name, n_name FROM nation")
+def zip_lines(spark, sf_dir):
+    left = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), "r_name")
+    return tables.pasted(left, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name"), "k")
+
+
+@query("SELECT p_type AS rule, p_brand AS fingerprint, count_if(p_size > 40) > 0 AS forced, list_max(list(p_size)) AS threads, len(list(p_size))::BIGINT AS n FROM part GROUP BY ALL")
+def rule_call_groups(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return runs.call_groups(part.select(F.col("p_type").alias("rule"), F.col("p_brand").alias("fingerprint"), (F.col("p_size") > 40).alias("forced"), F.col("p_size").alias("threads")))
+
+
+@query("SELECT DISTINCT c.p_brand AS child_call, p.p_brand AS parent_call FROM part c, part p WHERE (p.p_partkey = c.p_partkey // 2 OR p.p_partkey = c.p_partkey // 3) AND c.p_brand <> p.p_brand")
+def rule_call_edges(spark, sf_dir):
+    return runs.call_edges(nodes(spark, sf_dir).select("key", F.col("kind").alias("call")), edges(spark, sf_dir))
+
+
+@query(_CLOSURE + " SELECT p_partkey AS key, p_brand AS state, p_size AS size FROM part WHERE p_partkey % 3 <> 0 AND p_partkey IN (FROM c)")
+def exec_summary(spark, sf_dir):
+    events = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("state"), F.col("p_size").alias("size"))
+    return runs.execution_summary(events, requested(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("SELECT s_suppkey AS k, s_name AS v FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def config_patch(spark, sf_dir):
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    return tables.overlaid(base, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v")), "k", "v")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (ORDER BY user_id, event_id) <= 100")
+def head_n(spark, sf_dir):
+    return tables.head(table(spark, sf_dir, "events").select("event_id", "user_id"), 100, ["user_id", "event_id"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN p_type ELSE 'output' END AS label FROM part")
+def display_label(spark, sf_dir):
+    k = F.col("p_size") % 3
+    return table(spark, sf_dir, "part").select("p_partkey", S.display_label(F.when(k == 0, F.col("p_brand")), F.when(k == 1, F.col("p_type")), F.lit(None).cast("string")).alias("label"))

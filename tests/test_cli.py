@@ -20,7 +20,7 @@ pair = Rule("pair", {"a": T, "b": T}, {"out": T}, sql="SELECT x FROM {a} UNION A
 
 
 def test_tokens():
-    assert value_token(-1.5) == "neg1p5" and value_token(True) == "true" and value_token("a b/c") == "a_b_c"
+    assert value_token(-1.5) == "neg1p5" and value_token(True) == "true" and value_token("a b/[c],.x") == "ab_c-px"
     assert token_diff("run fast now", "run very slow now") == "very_slow" and value_token("x y", "x z") == "y"
     assert table_tokens([{"b": "p", "a": "q"}, {"b": "r", "a": "q"}]) == ["p", "r"]
     assert table_tokens([{"a": 1}, {"a": 2}]) == ["0", "1"]
