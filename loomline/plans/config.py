@@ -20,6 +20,22 @@ class ConfigError(ValueError):
     """A job file, field or label set that doesn't hold what is asked of it."""
 
 
+class NoPipeline(ConfigError):
+    """A job names no pipeline."""
+
+
+class NoLabel(ConfigError):
+    """A label was asked for that there isn't."""
+
+
+class Rejected(ConfigError):
+    """A validator rejected a job."""
+
+
+class NotLoaded(ConfigError):
+    """A callable can't be loaded."""
+
+
 def read_config(path: str | Path) -> dict:
     path = Path(path)
     if path.suffix not in (".toml", ".json"):
@@ -123,15 +139,17 @@ def label_sets(path: str | Path, names: Iterable[str]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-@cache
 def load(spec: str) -> Callable:
     """The callable of ``file.py:name``; a file is loaded once."""
     file, _, name = spec.rpartition(":")
     if not file or not name:
-        raise ConfigError(f"{spec} isn't file.py:name")
-    found = getattr(_module(str(Path(file).resolve())), name, None)
+        raise NotLoaded(f"{spec} isn't file.py:name")
+    try:
+        found = getattr(_module(str(Path(file).resolve())), name, None)
+    except Exception as error:
+        raise NotLoaded(f"{file} can't be loaded: {error}") from error
     if not callable(found):
-        raise ConfigError(f"{file} has no callable {name}")
+        raise NotLoaded(f"{file} has no callable {name}")
     return found
 
 
@@ -149,4 +167,4 @@ def validate(job: Job, validators: Iterable[Callable[[dict], Any]]) -> None:
         try:
             check(job.config)
         except Exception as error:
-            raise ConfigError(f"{job.label}: {getattr(check, '__name__', check)}: {error}") from error
+            raise Rejected(f"{job.label}: {getattr(check, '__name__', check)}: {error}") from error

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
-from .rules import Call, Node, lineage
+from .rules import Call, ContractError, Node, lineage
 from .workspace import Event, Workspace
 
 NAME_MAX, PATH_MAX = 255, 4096
@@ -16,9 +18,12 @@ _EVENTS = "rule string, fingerprint string, state string, seconds double, error
 
 
 def _record(work: Workspace, node: Node) -> tuple:
+    """What the store has of a node, or what a run would write if there is nothing."""
     call = node.call
-    config = json.dumps(accumulated_config(call), sort_keys=True, default=str)
-    return call.rule.name, call.fingerprint, node.output, work.path(node), call.rule.recipe, config, [p.key for p in call.parents.values()]
+    known = work.record(call)
+    config = json.dumps(known.get("config", accumulated_config(call)), sort_keys=True, default=str)
+    parents = known.get("parent_keys", [p.key for p in call.parents.values()])
+    return call.rule.name, call.fingerprint, node.output, work.path(node), known.get("recipe", call.rule.recipe), config, parents
 
 
 def accumulated_config(call: Call) -> dict:
@@ -46,12 +51,35 @@ def record_events(work: Workspace, events: list[Event]) -> DataFrame:
     return work.spark.read.schema(_EVENTS).parquet(path)
 
 
+#: A label that a job asks for and its pipeline hasn't is a fault of contract.
+LabelError = ContractError
+
+
 @dataclass(frozen=True)
 class Issue:
     code: str
     subject: str
 
 
+def doctor_roots(work: Workspace, results: str) -> list[Issue]:
+    """Roots that can't be written to, and a store that a run holds."""
+    issues = []
+    for root in dict.fromkeys((work.root, results)):
+        probe = f"{root}/_probe"
+        try:
+            work.put(probe, "ok")
+            fs, path = work._fs(probe)
+            fs.delete(path, False)
+        except (PySparkException, Py4JError, OSError) as error:
+            issues.append(Issue("LOOM_OUTPUT_ROOT_NOT_WRITABLE", f"{root}: {str(error).splitlines()[0]}"))
+    try:
+        if work.locked():
+            issues.append(Issue("LOOM_NODESTORE_LOCKED", work.root))
+    except Py4JError as error:
+        issues.append(Issue("LOOM_OUTPUT_ROOT_NOT_WRITABLE", f"{work.root}: {str(error).splitlines()[0]}"))
+    return issues
+
+
 def doctor(work: Workspace, wanted: list[Node], labels: dict[str, Node] | None = None, requests: tuple[str, ...] = ()) -> list[Issue]:
     """What would stop a run: unknown labels, paths that are too long, two rules of one name that differ."""
     issues = [Issue("LOOM_REQUEST_LABEL_NOT_FOUND", r) for r in requests if r not in (labels or {})]
@@ -67,21 +95,9 @@ def doctor(work: Workspace, wanted: list[Node], labels: dict[str, Node] | None =
 
 
 def explain(work: Workspace, wanted: list[Node], force: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
-    """(key, state, reason) of each call that a run would meet, parents first."""
-    states = {call.fingerprint: (call, state) for call, state in work.plan(wanted, force)}
-    out = []
-    for call, state in states.values():
-        key = f"{call.rule.name}/{call.fingerprint}"
-        if state == "UP_TO_DATE":
-            reason = "up_to_date"
-        elif state == "MISSING":
-            reason = "output_missing"
-        elif {call.rule.name, call.fingerprint} & set(force):
-            reason = "forced_invalidation"
-        else:
-            reason = "parent_not_up_to_date"
-        out.append((key, state, reason))
-    return out
+    """(key, state, reason) of each call that a run would meet, parents first; a row for each reason."""
+    found = work.statuses(wanted, force, tolerant=True)
+    return [(f"{s.call.rule.name}/{s.call.fingerprint}", s.state, reason) for s in found for reason in s.reasons]
 
 
 def draw(wanted: list[Node]) -> str:

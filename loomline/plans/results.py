@@ -7,9 +7,10 @@ from pathlib import Path
 
 from .config import to_toml
 from .pipeline import Pipeline
-from .workspace import Workspace
+from .rules import lineage
+from .workspace import Event, Workspace
 
-MANIFEST = "manifest.toml"
+MANIFEST, EXECUTION = "manifest.toml", "execution.toml"
 
 
 def publish(work: Workspace, folder: str, label: str, pipeline: Pipeline, requests: tuple[str, ...] = ()) -> dict[str, str]:
@@ -33,6 +34,17 @@ def publish(work: Workspace, folder: str, label: str, pipeline: Pipeline, reques
     return listed
 
 
+def summarise(folder: str, label: str, pipeline: Pipeline, requests: tuple[str, ...], events: list[Event]) -> list[Event]:
+    """Write ``folder/label/execution.toml``: the events of the requested nodes and all they are made from, by key; calls without an event are left out."""
+    behind = {c.fingerprint for c in lineage(list(pipeline.requested(requests).values()))}
+    own = sorted((e for e in events if e.fingerprint in behind), key=lambda e: (e.rule, e.fingerprint))
+    place = Path(folder) / label
+    place.mkdir(parents=True, exist_ok=True)
+    tables = [f'["{e.rule}/{e.fingerprint}"]\n' + to_toml({k: v for k, v in e.to_dict().items() if k not in ("rule", "fingerprint")}) for e in own]
+    (place / EXECUTION).write_text("\n".join(tables), encoding="utf-8")
+    return own
+
+
 def _drop_links(place: Path) -> None:
     """Delete links below a folder, then folders that this leaves empty."""
     for at, folders, files in os.walk(place, topdown=False):

@@ -24,7 +24,7 @@ def test_tokens():
     assert token_diff("run fast now", "run very slow now") == "very_slow" and value_token("x y", "x z") == "y"
     assert table_tokens([{"b": "p", "a": "q"}, {"b": "r", "a": "q"}]) == ["p", "r"]
     assert table_tokens([{"a": 1}, {"a": 2}]) == ["0", "1"]
-    assert table_tokens([{"a": 1, "__label": "x y"}, {"a": 2}]) == ["x_y", "1"]
+    assert table_tokens([{"a": 1, "__label": "x y"}, {"a": 2}]) == ["xy", "1"]
 
 
 def test_labels():
