@@ -105,7 +105,7 @@ def features(found: DataFrame) -> DataFrame:
         "dots": share(r"\."),
         "dashes": share("[_-]"),
         "extension": c.rlike(r"\.[A-Za-z]{1,4}$").cast("double"),
-        "assigned": F.col("before").rlike(r"[:=]\s*[\"']?$").cast("double"),
+        "assigned": F.col("before").rlike(r"[:=]\s*[\"']?\s*$").cast("double"),
         "keyword": F.col("before").rlike(KEYWORDS).cast("double"),
         "benign": F.concat_ws(" ", "before", "after").rlike(BENIGN).cast("double"),
         "known_prefix": c.rlike(r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|AIza|eyJ)").cast("double"),
@@ -113,35 +113,63 @@ def features(found: DataFrame) -> DataFrame:
     return found.withColumns({k: F.coalesce(made[k].cast("double"), F.lit(0.0)) for k in _FEATURES})
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
-    """(candidate, before, after, label): half secrets, half what scanners mistake for them."""
+#: Plain words of code and prose, from which benign findings are made; none is a piece of the dictionary.
+PLAIN = (
+    "server handler manager widget parser buffer cache queue worker thread socket client request response header payload session cookie router gateway cluster node shard replica index table column schema query cursor driver plugin module package "
+    "garden window kitchen bottle orange purple silver winter summer monday friday london berlin paris madrid quick brown jumps lazy monkey dragon castle bridge forest island planet rocket guitar violin"
+).split()
+
+
+def _benign_word(r: random.Random) -> str:
+    return r.choice(PLAIN)
+
+
+def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int, str]]:
+    """(candidate, before, after, label, kind): half secrets, half what scanners mistake for them; both under telling names and in prose.
+
+    Benign words come from a list of their own, not from the dictionary that the
+    coverage is measured by, so that the forest doesn't learn its own features.
+    """
     r = random.Random(seed)
     hexs, base, upper = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567"
-    take = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
-    word = lambda: "".join(r.choice(DICTIONARY) for _ in range(r.randint(1, 5)))
-    prose = lambda: " ".join(word() for _ in range(AROUND))
-    named = lambda: f"{word()} {r.choice(['token', 'api_key', 'secret', 'password', 'auth_token', 'access-key'])} {r.choice(['=', ':'])}"
+
+    def take(alphabet: str, k: int) -> str:
+        return "".join(r.choice(alphabet) for _ in range(k))
+
+    def prose() -> str:
+        return " ".join(_benign_word(r) for _ in range(AROUND))
+
+    def named() -> str:
+        return f"{_benign_word(r)} {r.choice(['token', 'api_key', 'secret', 'password', 'auth_token', 'access-key', 'client_secret', 'passwd', 'credential'])} {r.choice(['=', ':', '= \"', ': \''])}"
+
+    def camel() -> str:
+        return "".join(_benign_word(r).title() for _ in range(r.randint(2, 4)))
+
+    secrets = {
+        "aws": (lambda: "AKIA" + take(upper, 16), 0.3), "hex": (lambda: take(hexs, r.choice([32, 40, 64])), 1), "github": (lambda: "ghp_" + take(base[:62], 36), 0.5),
+        "base64": (lambda: take(base, r.choice([24, 32, 40, 44])) + r.choice(["", "=", "=="]), 1), "slack": (lambda: f"xoxb-{take(string.digits, 12)}-{take(base[:62], 24)}", 0.5),
+        "stripe": (lambda: "sk_live_" + take(base[:62], 24), 0.5), "jwt": (lambda: f"eyJ{take(base[:62], 30)}.{take(base[:62], 40)}", 0.6), "mixed": (lambda: take(base[:62], r.randint(16, 24)), 1),
+        "phrase": (lambda: "".join(r.choice([_benign_word(r), take(string.digits, 2), _benign_word(r).title()]) for _ in range(3)) + take(string.digits, 3), 1),
+    }
+    benign = {
+        "commit": (lambda: take(hexs, 40), lambda: f"{_benign_word(r)} {r.choice(['commit', 'revision', 'sha1'])}"), "checksum": (lambda: take(hexs, r.choice([32, 64])), lambda: f"{r.choice(['md5', 'sha256', 'checksum', 'digest'])} :"),
+        "uuid": (lambda: "-".join(take(hexs, m) for m in (8, 4, 4, 4, 12)), lambda: f"{_benign_word(r)} {r.choice(['uuid', 'id', 'request'])}"),
+        "path": (lambda: "/" + "/".join(_benign_word(r) for _ in range(4)) + str(r.randint(1, 99)) + r.choice([".py", ".txt", ".so", ""]), prose),
+        "class": (lambda: camel() + str(r.randint(1, 2024)), prose), "snake": (lambda: "_".join(_benign_word(r) for _ in range(3)) + str(r.randint(1, 9)), prose),
+        "masked": (lambda: r.choice("xX0*1") * r.randint(12, 24) + "a1", named), "placeholder": (lambda: f"{r.choice(['your', 'my', 'example', 'changeme'])}_{_benign_word(r)}_here{r.randint(1, 9)}", named),
+        "number": (lambda: take(string.digits, r.randint(16, 20)) + r.choice("abc"), lambda: f"{_benign_word(r)} {r.choice(['order', 'invoice', 'ticket'])}"), "host": (lambda: f"{_benign_word(r)}{r.randint(1, 9)}.{_benign_word(r)}.com", named),
+        "reference": (lambda: f"{_benign_word(r)}.{r.choice(['config', 'settings', 'env'])}.{_benign_word(r)}{r.randint(1, 9)}", named), "version": (lambda: f"{_benign_word(r)}-{r.randint(0, 9)}.{r.randint(0, 99)}.{r.randint(0, 9)}-{r.choice(['linux', 'darwin'])}-x86_64", prose),
+    }
     out = []
     for k in range(n):
         if k % 2:
-            value, told = r.choice(
-                [
-                    (lambda: "AKIA" + take(upper, 16), 0.3), (lambda: take(hexs, r.choice([32, 40, 64])), 1), (lambda: "ghp_" + take(base[:62], 36), 0.5),
-                    (lambda: take(base, r.choice([24, 32, 40])) + r.choice(["", "=", "=="]), 1), (lambda: "xoxb-" + take(string.digits, 12) + "-" + take(base[:62], 24), 0.5),
-                    (lambda: "sk_live_" + take(base[:62], 24), 0.5), (lambda: "eyJ" + take(base[:62], 30) + "." + take(base[:62], 40), 0.6), (lambda: take(base[:62], r.randint(16, 24)), 1),
-                ]
-            )
-            out.append((value(), named() if r.random() < told else prose(), prose(), 1))
+            kind = r.choice(sorted(secrets))
+            value, told = secrets[kind]
+            out.append((value(), named() if r.random() < told else prose(), prose(), 1, kind))
         else:
-            value, before = r.choice(
-                [
-                    (lambda: take(hexs, 40), lambda: f"{word()} {r.choice(['commit', 'revision', 'sha1'])}"), (lambda: take(hexs, r.choice([32, 64])), lambda: f"{r.choice(['md5', 'sha256', 'checksum', 'digest'])} :"),
-                    (lambda: "-".join(take(hexs, m) for m in (8, 4, 4, 4, 12)), lambda: f"{word()} {r.choice(['uuid', 'id', 'request'])}"), (lambda: "/" + "/".join(word() for _ in range(4)) + str(r.randint(1, 99)) + r.choice([".py", ".txt", ".so", ""]), prose),
-                    (lambda: "".join(word().title() for _ in range(3)) + str(r.randint(1, 2024)), prose), (lambda: "_".join(word() for _ in range(3)) + str(r.randint(1, 9)), prose), (lambda: r.choice("xX0*1") * r.randint(12, 24) + "a1", named),
-                    (lambda: r.choice(["your", "my", "example"]) + "_" + word() + "_here" + str(r.randint(1, 9)), named), (lambda: take(string.digits, r.randint(16, 20)) + r.choice("abc"), lambda: f"{word()} {r.choice(['order', 'invoice', 'ticket'])}"), (lambda: word() + word() + "." + word() + ".com", named),
-                ]
-            )
-            out.append((value(), before(), prose(), 0))
+            kind = r.choice(sorted(benign))
+            value, before = benign[kind]
+            out.append((value(), before(), prose(), 0, kind))
     return out
 
 
@@ -156,7 +184,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None):
     from pyspark.ml.feature import VectorAssembler
 
     if labelled is None:
-        labelled = spark.createDataFrame(labelled_findings(), "candidate string, before string, after string, label int")
+        labelled = spark.createDataFrame(labelled_findings(), "candidate string, before string, after string, label int, kind string")
     rows = features(labelled.coalesce(1)).select(*_FEATURES, F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="_features", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_label")
     return Pipeline(stages=[VectorAssembler(inputCols=list(_FEATURES), outputCol="_features"), forest]).fit(rows)
