@@ -17,6 +17,8 @@ from .common import BROADCAST_LIMIT, ascii_lower, broadcast_if, cut, free_name,
 
 WINDOW, GRAM = 13, 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Estimated bytes of a window row, for the check before a broadcast.
 _WINDOW_BYTES = 400
 
@@ -183,7 +185,7 @@ def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
 
     def rest(hit: Column) -> Column:
         """What parts the words is one longer than the words."""
-        own, between = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD)
+        own, between = F.regexp_extract_all("text", F.lit(ANY_CASE), F.lit(0)), F.split("text", ANY_CASE)
         # One mark for each word, in order of the places.
         gone = F.array_distinct(F.flatten(F.transform(hit, lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
         kept = F.transform(own, lambda w, i: F.when(F.array_contains(gone, i), F.lit("")).otherwise(F.concat(F.get(between, i), w)))
