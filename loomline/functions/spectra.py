@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distinct values that the driver takes for the last step of an exact median.
@@ -62,3 +62,20 @@ def above_share(intensities: Column, share: float = 0.01) -> Column:
     """The intensities of at least a share of the largest; those below 0 stand for none and are dropped."""
     given = F.filter(intensities, lambda x: x >= 0)
     return F.filter(given, lambda x: x >= share * F.array_max(given))
+
+
+def search(observed: DataFrame, library: DataFrame, lo: float, hi: float) -> DataFrame:
+    """(spectrum, peptide, rank, error_ppm): library masses whose error is within ``lo`` .. ``hi`` ppm, best first.
+
+    ``observed(spectrum, mz)``, ``library(peptide, mass)``.  A range join by equal bins of
+    the logarithm: a bin is as wide as the widest error, so that a match lies in the
+    same or a neighbouring bin.
+    """
+    width = max(abs(lo), abs(hi), 1e-3) * 1.1e-6
+    place = lambda c: F.floor(F.log(c) / width)
+    known = library.select("peptide", "mass", F.explode(F.array(*(place(F.col("mass")) + k for k in (-1, 0, 1)))).alias("bin"))
+    near = observed.select("spectrum", "mz", place(F.col("mz")).alias("bin")).join(known, "bin")
+    error = (F.col("mz") - F.col("mass")) / F.col("mass") * 1e6
+    found = near.withColumn("error_ppm", error).where(F.col("error_ppm").between(lo, hi))
+    best = Window.partitionBy("spectrum").orderBy(F.abs(F.round("error_ppm", 6)), "peptide")
+    return found.withColumn("rank", F.row_number().over(best)).select("spectrum", "peptide", "rank", "error_ppm")

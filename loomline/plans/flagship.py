@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .rules import ArtifactType, Rule
+from .rules import ArtifactType, Node, Rule
 from .workspace import Workspace
 
 TABLE = ArtifactType("Table")
@@ -36,10 +36,20 @@ by_priority = Rule(
 )
 
 
-def flagship(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
-    """Revenue by order priority of lines shipped since 1995."""
-    root = root or f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='loomline-')}/flagship"
+def flagship_plan(spark: SparkSession, sf_dir: str, root: str, since: str = "1995-01-01 00:00:00") -> tuple[Workspace, Node]:
+    """Make the totals, as far as the store hasn't them; the store and the node."""
     work = Workspace(spark, root)
-    totals = by_priority(price(scan_orders(sf_dir), scan_lines(sf_dir, "1995-01-01 00:00:00")))
+    totals = by_priority(price(scan_orders(sf_dir), scan_lines(sf_dir, since)))
     work.execute([totals])
+    return work, totals
+
+
+def flagship(spark: SparkSession, sf_dir: str, root: str | None = None, since: str = "1995-01-01 00:00:00") -> DataFrame:
+    """Revenue by order priority of lines shipped since then."""
+    if root is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{shared or tempfile.mkdtemp(prefix='loomline-')}/flagship"
+    work, totals = flagship_plan(spark, sf_dir, root, since)
     return work.read(totals)

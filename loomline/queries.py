@@ -532,3 +532,25 @@ def head_n(spark, sf_dir):
 def display_label(spark, sf_dir):
     k = F.col("p_size") % 3
     return table(spark, sf_dir, "part").select("p_partkey", S.display_label(F.when(k == 0, F.col("p_brand")), F.when(k == 1, F.col("p_type")), F.lit(None).cast("string")).alias("label"))
+
+
+@query("SELECT o_orderpriority, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY o_orderpriority")
+def flagship_pipeline(spark, sf_dir):
+    from .plans.flagship import flagship
+
+    return flagship(spark, sf_dir)
+
+
+@query(
+    """WITH s AS MATERIALIZED (SELECT vec_id AS spectrum, (500 + vec_id % 997) * (1 + (25 + 3 * sin(vec_id / 50.0::DOUBLE)) * 1e-6::DOUBLE) AS mz, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS total FROM embeddings),
+l AS MATERIALIZED (SELECT DISTINCT vec_id % 997 AS peptide, 500.0::DOUBLE + vec_id % 997 AS mass FROM embeddings),
+top AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (ORDER BY total DESC, spectrum) <= 200),
+one AS MATERIALIZED (SELECT spectrum, peptide, (mz - mass) / mass * 1e6 AS e FROM top, l WHERE abs((mz - mass) / mass * 1e6) <= 50 QUALIFY row_number() OVER (PARTITION BY spectrum ORDER BY abs((mz - mass) / mass), peptide) = 1),
+f AS MATERIALIZED (SELECT median(e) AS o, min(e) - median(e) - 1 AS lo, max(e) - median(e) + 1 AS hi FROM one),
+two AS (SELECT spectrum, peptide, (mz / (1 + o * 1e-6) - mass) / mass * 1e6 AS e FROM s, l, f WHERE (mz / (1 + o * 1e-6) - mass) / mass * 1e6 BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY spectrum ORDER BY abs((mz / (1 + o * 1e-6) - mass) / mass), peptide) = 1)
+SELECT 1 AS pass, spectrum, peptide, round(e, 4) AS error_ppm FROM one UNION ALL SELECT 2, spectrum, peptide, round(e, 4) FROM two"""
+)
+def two_pass_recalibration(spark, sf_dir):
+    from .plans.two_pass import two_pass
+
+    return two_pass(spark, sf_dir)

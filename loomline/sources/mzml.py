@@ -61,6 +61,19 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spectra_format(path: str) -> str:
+    """``mgf`` or ``mzml``, by the suffix in any case; another one is an error."""
+    suffix = path.rstrip("/").rpartition(".")[2].lower()
+    if suffix not in ("mgf", "mzml"):
+        raise ValueError(f"{path} is neither MGF nor mzML")
+    return suffix
+
+
+def import_spectra(spark: SparkSession, path: str) -> DataFrame:
+    """Spectra of a file whose format its suffix must tell; for rules that take paths from users."""
+    return (read_mzml if spectra_format(path) == "mzml" else read_mgf)(spark, path)
+
+
 def read_spectra(spark: SparkSession, path: str) -> DataFrame:
     """mzML by its suffix, in any case; everything else is MGF."""
     return (read_mzml if path.lower().endswith(".mzml") else read_mgf)(spark, path)

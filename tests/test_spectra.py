@@ -43,3 +43,13 @@ def test_later_parents_win(spark):
     assert found == {(1, "a"): 1, (1, "b"): 1, (2, "a"): 2, (3, "a"): 2, (3, "b"): 1, (3, "c"): 3, (4, "a"): 1, (4, "b"): 1, (4, "c"): 3}
     prints = graph.fingerprints(nodes.withColumn("recipe", F.lit("r")), edges, "recipe").collect()
     assert len({r.fingerprint for r in prints}) == 3 and len(prints) == 4
+
+
+def test_formats_are_told_by_suffix(spark):
+    import pytest
+
+    from loomline.sources import mzml
+
+    assert mzml.spectra_format("a/b.MGF") == "mgf" and mzml.spectra_format("x.mzML") == "mzml"
+    with pytest.raises(ValueError, match="neither"):
+        mzml.import_spectra(spark, "x.raw")
