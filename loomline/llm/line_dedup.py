@@ -311,7 +311,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chosen: dict[int, list[int]] = {}
     firsts: dict[int, int | None] = {}
     for b in batches:
-        for t, s, first in zip(*(b.column(c).to_pylist() for c in ("template", "sketch", "first_doc")), strict=True):
+        for t, s, first in zip(*(b.column(c).to_pylist() for c in ("template", "sketch", "first_of_all")), strict=True):
             firsts[t] = first
             own = chosen.setdefault(t, [])
             if len(own) < NEEDS[t & 3] and all(_differ(s, x) for x in own):
@@ -361,8 +361,9 @@ def recurring(units: DataFrame) -> DataFrame:
     """
     differing = units.groupBy("template", "sketch").agg(F.min("doc_id").alias("first_doc"))
     least = _least("template")
-    maybe = differing.groupBy("template").agg(F.count("*").alias("sketches"), F.min("first_doc").alias("first_doc")).where(F.col("sketches") >= least)
-    rows = differing.select("template", "sketch").join(maybe.select("template", "first_doc"), "template")
+    maybe = differing.groupBy("template").agg(F.count("*").alias("sketches"), F.min("first_doc").alias("first_of_all")).where(F.col("sketches") >= least)
+    # With all its columns on both sides, ``differing`` is made and shuffled once.
+    rows = differing.join(maybe.select("template", "first_of_all"), "template")
     apart = rows.mapInArrow(_apart, "template long, first_doc long, sketch long, enough boolean").groupBy("template")
     counted = apart.agg(F.min("first_doc").alias("first_doc"), F.bool_or("enough").alias("enough"), F.array_sort(F.collect_set("sketch")).alias("sketches"))
     return counted.where(F.col("enough") | (_how_many_differ(F.col("sketches")) >= least)).select("template", "first_doc")
