@@ -352,18 +352,17 @@ def _units_of(docs: DataFrame) -> tuple[DataFrame, object]:
     return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units(known), "template long, sketch long, doc_id long")), known
 
 
-def recurring(units: DataFrame) -> DataFrame:
+def recurring(units: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(template, first_doc) of each recurring template of ``units(template, sketch, doc_id)``.
 
-    Only templates with enough distinct sketches are looked at further.  The rows of
-    one, dealt by template and sketch, are first thinned where they lie, so that none
-    gathers more than a few rows of each partition.
+    Only templates with enough rows, not all of one sketch, are looked at further.  The
+    distinct rows of these, dealt by template and sketch, are first thinned where they
+    lie, so that none gathers more than a few rows of each partition.
     """
-    differing = units.groupBy("template", "sketch").agg(F.min("doc_id").alias("first_doc"))
     least = _least("template")
-    maybe = differing.groupBy("template").agg(F.count("*").alias("sketches"), F.min("first_doc").alias("first_of_all")).where(F.col("sketches") >= least)
-    # With all its columns on both sides, ``differing`` is made and shuffled once.
-    rows = differing.join(maybe.select("template", "first_of_all"), "template")
+    counts = units.groupBy("template").agg(F.count("*").alias("rows"), F.min("sketch").alias("lo"), F.max("sketch").alias("hi"), F.min("doc_id").alias("first_of_all"))
+    maybe = cut(counts.where((F.col("rows") >= least) & (F.col("lo") < F.col("hi"))).select("template", "first_of_all"), few=True)
+    rows = units.join(broadcast_if(maybe, maybe.count(), 24, limit), "template").groupBy("template", "sketch").agg(F.min("first_of_all").alias("first_of_all"))
     apart = rows.mapInArrow(_apart, "template long, first_doc long, sketch long, enough boolean").groupBy("template")
     counted = apart.agg(F.min("first_doc").alias("first_doc"), F.bool_or("enough").alias("enough"), F.array_sort(F.collect_set("sketch")).alias("sketches"))
     return counted.where(F.col("enough") | (_how_many_differ(F.col("sketches")) >= least)).select("template", "first_doc")
@@ -382,7 +381,7 @@ def drop_recurring(docs: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped")
     units, known = _units_of(docs)
-    found = cut(recurring(units), few=True)
+    found = cut(recurring(units, limit), few=True)
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_lines long", "n_dropped long"])
     n = found.count()
