@@ -91,6 +91,9 @@ def line_templates(tokens: list[str]) -> list[int]:
 #: White space that isn't one space between words; texts without it are split as they stand.
 _UNEVEN = ("  ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
+#: How many of these are ASCII.
+_ASCII = 9
+
 
 class Line(NamedTuple):
     """A line, its generalised tokens joined by spaces, its leaf (None without tokens), its template as a whole (None unless long), its sentences, and the place and template of each that is long enough."""
@@ -104,7 +107,11 @@ class Line(NamedTuple):
 
 
 def parse(text: str) -> list[Line]:
-    digits, even, out = _digits_in(text), not any(map(text.__contains__, _UNEVEN)), []
+    digest = xxhash.xxh3_64_intdigest
+    digits, out = _digits_in(text), []
+    even = not any(map(text.__contains__, _UNEVEN[:_ASCII] if text.isascii() else _UNEVEN))
+    # Most texts have no other ends of sentences than points.
+    ends = [(m, f"{m[0]}\0") for m in (". ", "! ", "? ") if m in text]
 
     def sign(s: str, some: bool) -> int | None:
         x = s.strip() if even else " ".join(s.split())
@@ -123,9 +130,17 @@ def parse(text: str) -> list[Line]:
             out.append(Line(line, low, None, None, [line], []))
             continue
         n = low.count(" ") + 1
-        leaf = _sign(LEAF, n < SHORT, f"{n} {low if n <= LEADING else ' '.join(low.split(' ', LEADING)[:LEADING])}")
-        sentences = line.replace(". ", ".\0").replace("! ", "!\0").replace("? ", "?\0").split("\0")
-        signed = [(j, t) for j, s in enumerate(sentences) if s.count(" ") >= LEAST_SENTENCE - 1 and (t := sign(s, some)) is not None]
+        lead = low if n <= LEADING else " ".join(low.split(" ", LEADING)[:LEADING])
+        leaf = digest(f"{n} {lead}", LEAF) >> 3 << 2 | (n < SHORT)
+        marked = line
+        for m, end in ends:
+            marked = marked.replace(m, end)
+        sentences = marked.split("\0")
+        if even and not some and low == line:
+            # As they stand: no call for each of them.
+            signed = [(j, digest(s, SENTENCE) >> 3 << 2 | (c > LONG - 2) << 1) for j, s in enumerate(sentences) if len(s) > 14 and (c := s.count(" ")) > LEAST_SENTENCE - 2]
+        else:
+            signed = [(j, t) for j, s in enumerate(sentences) if s.count(" ") >= LEAST_SENTENCE - 1 and (t := sign(s, some)) is not None]
         out.append(Line(line, low, leaf, _sign(LINE, 2, low) if n >= LONG else None, sentences, signed))
     return out
 
