@@ -187,7 +187,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None):
         labelled = spark.createDataFrame(labelled_findings(), "candidate string, before string, after string, label int, kind string")
     rows = features(labelled.coalesce(1)).select(*_FEATURES, F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="_features", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_label")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(_FEATURES), outputCol="_features"), forest]).fit(rows)
+    # A copy has no training summary: that refers to the session, which can't always be sent to executors.
+    return Pipeline(stages=[VectorAssembler(inputCols=list(_FEATURES), outputCol="_features"), forest]).fit(rows).copy()
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

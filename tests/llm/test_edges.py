@@ -191,3 +191,14 @@ def test_pages_of_forms_depth_and_hosts_that_differ(spark):
     texts = {r.page_id: r.text for r in rows if r.page_id != 7}
     assert [texts[k] for k in (1, 2, 3, 4, 5)] == [want] * 5
     assert texts[6] == " ".join([want] * 3000) and len(rows) == len(pages) and html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_secrets_in_a_session_that_has_observed(spark):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    docs = spark.createDataFrame([(1, "token = 035d50b74778df8409167469942b6500c432a2c9 now")], "doc_id long, text string")
+    assert [r.is_secret for r in secrets.scan(docs).collect()] == [True]
