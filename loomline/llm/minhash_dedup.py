@@ -4,9 +4,9 @@
    ``BITS`` bits packed into longs, ``BANDS`` band keys of ``ROWS`` full minima.
 2. Equal word sequences collapse to one class; only its smallest document goes on.
 3. Documents sharing a band key are candidates.  A bucket is never expanded into
-   all pairs: its members are compared with a hub, linked members get one label, and
-   pairs under different labels are found exactly by a prefix join of the members'
-   differences from the hub.
+   all pairs: its members are compared with a hub, members that are linked so far get
+   one label, and pairs under different labels are found exactly by a prefix join of
+   the members' differences from the hub, rare ones first.
 4. Candidates pass a bit-count estimate (corrected for chance agreement of low bits,
    with a margin of six standard deviations), then an exact check on full sets.
 
@@ -245,8 +245,8 @@ def link(reps: DataFrame, docs: DataFrame, percent: int, width: int, limit: int
 
     The hub of a bucket is the member that shares most with others over all bands: of
     a group of near copies, the one that is nearest to all.  Every member is compared
-    with its hubs; what links gets a common label (a lower bound of the component,
-    enough to leave pairs out).  ``remainder`` then finds the other pairs.
+    with its hubs; the components of these links are labels, under which no pair need be
+    compared.  ``remainder`` then finds the other pairs, and its links join components.
     """
     rows = reps.select("doc", F.explode("bands").alias("band"))
     counted = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -257,35 +257,43 @@ def link(reps: DataFrame, docs: DataFrame, percent: int, width: int, limit: int
     members = cut(shared.join(hubs, "band").where("doc <> hub").select("doc", "hub").distinct(), few=True)
     side = reps.select("doc", "n", "sig")
     found = confirm(candidates(members.toDF("a", "b"), side, percent), docs, percent, width, limit)
-    near = cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")), few=True)
-    hop = near.select("a", F.least("a", "b").alias("b"))
-    label = hop.join(hop.toDF("b", "c"), "b", "left").select(F.col("a").alias("doc"), F.least("b", "c").alias("label"))
+    known = cut(connected_components(found), few=True)
+    label = known.select(F.col("node").alias("doc"), F.col("component").alias("label"))
     more = confirm(candidates(remainder(members, label, docs, percent, width, limit), side, percent), docs, percent, width, limit)
-    return connected_components(found.unionByName(more))
+    return known if more.isEmpty() else connected_components(known.toDF("a", "b").unionByName(more))
 
 
 def remainder(members: DataFrame, label: DataFrame, docs: DataFrame, percent: int, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Pairs (a, b) of members of a hub, under different labels, that may link; none that links is left out.
 
-    A member x is described by D(x), its symmetric difference with the hub, in a common
-    order (first what the hub lacks, then what x lacks).  As |x Δ y| = |D(x) Δ D(y)|,
-    a link needs |D(x) Δ D(y)| <= T, with T = (100 - percent) / (100 + percent) of both
-    sizes; hence an overlap of D(x) and D(y), hence a common element in prefixes of
-    lengths that follow from T and the sizes.  Edits of one copy only are first in the
-    order and meet nobody, so the join stays small in groups of near copies.  (If the
-    needed overlap is 0, both link with the hub.)
+    A member x is described by D(x), its symmetric difference with the hub, in an order
+    that is common to the hub's members.  As |x Δ y| = |D(x) Δ D(y)|, a link needs
+    |D(x) Δ D(y)| <= T, with T = (100 - percent) / (100 + percent) of both sizes; hence
+    an overlap of D(x) and D(y), hence a common element in prefixes of lengths that
+    follow from T and the sizes.  (If the needed overlap is 0, both link with the hub.)
+    First in the order are elements under one label only, which make no pair and are
+    but counted; then the others, those of few members before those of many.  So
+    the edits of one copy fill its prefix, and what a hub has of its own, or lacks,
+    against the whole group comes last.
     """
     labelled = members.join(label, "doc", "left").select("doc", "hub", F.coalesce("label", "doc").alias("label"))
     mixed = labelled.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub")
     left = cut(labelled.join(mixed, "hub"), few=True)
     sets = shingles(left.select(F.col("doc").alias("doc_id")).unionByName(left.select(F.col("hub").alias("doc_id"))), docs, width, limit)
     pair = left.join(sets.toDF("doc", "own"), "doc").join(sets.toDF("hub", "base"), "hub")
-    differs = pair.select(
-        "doc", "hub", "label", F.size("own").alias("n"), F.concat(F.array_except("own", "base"), F.array_except("base", "own")).alias("d")
+    differs = cut(
+        pair.select("doc", "hub", "label", F.size("own").alias("n"), F.concat(F.array_except("own", "base"), F.array_except("base", "own")).alias("d")), few=True
     )
+    rows = differs.select("doc", "hub", "label", "n", F.size("d").alias("k"), F.explode("d").alias("token"))
+    counts = rows.groupBy("hub", "token").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    met = rows.join(counts.select("hub", "token", "held"), ["hub", "token"])
+    ordered = met.groupBy("doc", "hub", "label", "n", "k").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("d"))
     # The longest prefix that any partner may need: partners are at most 100 / percent as long.
     most = F.floor((100 - percent) * F.col("n") / percent) + 2
-    tokens = cut(differs.select("doc", "hub", "label", "n", F.size("d").alias("k"), F.posexplode(F.slice("d", F.lit(1), most.cast("int"))).alias("pos", "token")), few=True)
+    alone = F.col("k") - F.size("d")
+    prefix = F.slice("d", F.lit(1), F.greatest(most - alone, F.lit(0)).cast("int"))
+    tokens = ordered.select("doc", "hub", "label", "n", "k", alone.alias("alone"), F.posexplode(prefix).alias("pos", "at"))
+    tokens = cut(tokens.select("doc", "hub", "label", "n", "k", (F.col("alone") + F.col("pos")).alias("pos"), "at.token"), few=True)
     x, y = tokens.toDF("a", "hub", "la", "na", "ka", "pa", "token"), tokens.toDF("b", "hub_", "lb", "nb", "kb", "pb", "token_")
     allowed = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     fits = (

@@ -339,3 +339,47 @@ def test_classifier_held_out(spark):
     assert sum(scored[k] == (k % 4 in (0, 3)) for k in range(300, 400)) >= 95
     none = quality_model.score(docs, quality_model.train(docs, told.limit(0)))
     assert none.where("kept").count() == 400
+
+
+def _groups(n: int) -> dict[str, list[str]]:
+    """Copies with edits of their own; two groups in one, linked by few; texts cut at any length."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    core = [word() for _ in range(120)]
+    other = [word() if k % 17 == 10 else w for k, w in enumerate(core)]
+
+    def edited(words, edits):
+        words = list(words)
+        for _ in range(edits):
+            words[r.randrange(120)] = word()
+        return " ".join(words)
+
+    return {
+        "edits": [edited(core, r.randint(1, 8)) for _ in range(n)],
+        "two": [edited(core if k % 2 else other, r.randint(1, 3)) for k in range(n)],
+        "cut": [" ".join([*core[: r.randint(30, 120)], word()]) for _ in range(n)],
+    }
+
+
+@pytest.mark.parametrize("shape", ["edits", "two", "cut"])
+def test_pairs_of_a_large_group_stay_few(spark, monkeypatch, shape):
+    texts = _groups(250)[shape]
+    compared, whole = [], minhash_dedup.candidates
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(_table(spark, list(enumerate(texts))), percent=80, width=5).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = defaultdict(set)
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                links[a].add(b), links[b].add(a)
+    want = {}
+    for k in range(len(sets)):
+        reached, edge = {k}, [k]
+        while k not in want and edge:
+            edge = [x for x in set().union(*(links[y] for y in edge)) if x not in reached]
+            reached.update(edge)
+        want |= {x: k for x in reached if x not in want}
+    assert got == want
+    assert compared[1] <= 2 * len(texts)
